@@ -57,10 +57,11 @@ def top_sql(src: str, k: int, by: str = "score DESC, id") -> str:
 # Hashed adjacent-character counts of every text, unit length.
 def hash_vec_sql(name: str, src: str, key: str) -> str:
     return rf"""{name}_n AS (
-      SELECT {key} AS id, regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g') AS t FROM {src}),
+      SELECT {key} AS id, string_split(regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g'), '') AS t
+      FROM {src}),
     {name}_c AS (
-      SELECT id, (unicode(substr(t, i, 1)) * 31 + unicode(substr(t, i + 1, 1))) % 256 AS b, count(*) AS n
-      FROM (SELECT id, t, unnest(range(1, length(t))) AS i FROM {name}_n) GROUP BY ALL),
+      SELECT id, (unicode(p[1]) * 31 + unicode(p[2])) % 256 AS b, count(*) AS n
+      FROM (SELECT id, unnest(list_zip(t[:-2], t[2:])) AS p FROM {name}_n WHERE len(t) > 1) GROUP BY ALL),
     {name}_l AS (SELECT id, sqrt(sum(n * n)) AS len FROM {name}_c GROUP BY id),
     {name} AS (SELECT id, b, n / len AS w FROM {name}_c JOIN {name}_l USING (id))"""
 
