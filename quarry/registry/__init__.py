@@ -6,7 +6,7 @@ from importlib import import_module
 
 from quarry.registry.catalog import CATALOG
 
-for _area in ("search", "evaluate"):
+for _area in ("search", "evaluate", "graph"):
     import_module(f"quarry.registry.{_area}")
 
 __all__ = ["CATALOG"]
