@@ -27,6 +27,11 @@ def json_field(obj: Column, name: str) -> Column:
     return F.get_json_object(obj, f"$.{name}")
 
 
+def json_strings(item: Column, *names: str) -> Column:
+    """STRUCT of the named fields as text, from one parse."""
+    return F.from_json(item, ", ".join(f"`{n}` string" for n in names))
+
+
 def json_items(obj: Column, name: str) -> Column:
     """Objects of a JSON array field, each as JSON text; other items dropped."""
     items = F.from_json(F.get_json_object(obj, f"$.{name}"), "array<string>")
@@ -111,7 +116,9 @@ def plan_rows(df, text_col: str, *keep: str):
     """One row per sub-task of a plan with defaults filled in (F16)."""
     obj = json_object(F.col(text_col))
     rows = df.select(*keep, F.posexplode(json_items(obj, "subtasks")).alias("pos", "item"))
-    get = lambda name: json_field(F.col("item"), name)
+    rows = rows.select(*keep, "pos", json_strings(
+        F.col("item"), "id", "title", "description", "action_type", "tool_name").alias("f"))
+    get = lambda name: F.col(f"f.{name}")
     return rows.select(
         *keep, "pos",
         F.coalesce(get("id"), F.concat(F.lit("task_"), F.col("pos"))).alias("id"),

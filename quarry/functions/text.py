@@ -17,8 +17,13 @@ WORD = r"[\p{L}\p{N}_]+"
 CJK = r"[一-鿿]"
 
 
+# The same white space as single characters.
+SPACE_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203),
+                                8232, 8233, 8239, 8287, 12288]))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def blank(c: Column) -> Column:

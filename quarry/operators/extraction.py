@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.functions.parsing import clamped_float, json_field, json_items, json_object
+from quarry.functions.parsing import clamped_float, json_items, json_object, json_strings
 from quarry.functions.text import (first_number, lines, name_key, normalize_name, number_range, split_items,
                                    strip)
 from quarry.operators.ranking import first_rows, ordered_texts
@@ -272,7 +272,9 @@ def merge_enrichment(answers: DataFrame, id_col: str, subject_col: str, raw_col:
     items = F.slice(json_items(json_object(F.col(raw_col)), "relations"), 1, max_relations)
     rows = answers.select(F.col(id_col).alias("document_id"), F.col(subject_col).alias("subject"),
                           F.posexplode(items).alias("pos", "item"))
-    field = lambda n: json_field(F.col("item"), n)
+    rows = rows.select("document_id", "subject", "pos", json_strings(
+        F.col("item"), "predicate", "object", "object_type", "confidence", "evidence").alias("f"))
+    field = lambda n: F.col(f"f.{n}")
     or_blank = lambda n: normalize_name(F.coalesce(field(n), F.lit("")))
     kind = normalize_name(F.coalesce(F.nullif(field("object_type"), F.lit("")), F.lit("concept")))
     rows = rows.select(

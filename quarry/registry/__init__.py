@@ -6,7 +6,7 @@ from importlib import import_module
 
 from quarry.registry.catalog import CATALOG
 
-for _area in ("search", "evaluate", "graph"):
+for _area in ("search", "chunks", "evaluate", "graph", "documents"):
     import_module(f"quarry.registry.{_area}")
 
 __all__ = ["CATALOG"]

@@ -205,9 +205,9 @@ def kg_relevance(spark, sf):
 
 
 CONTEXT_SQL = QUESTIONS_SQL + """,
-  lines AS (SELECT query_id, d, sum(rel) AS part, 0 AS br, min(rank) AS at, fact AS line FROM sc GROUP BY query_id, d, fact
+  lines AS (SELECT query_id, d, sum(rel) AS part, 0 AS br, min(rank) AS posn, fact AS line FROM sc GROUP BY query_id, d, fact
             UNION ALL SELECT query_id, src, CASE WHEN inq THEN 1.5 ELSE 0.6 END, 1, er, '命中实体：' || name || '（' || type || '）' FROM ment),
-  ds AS (SELECT query_id, d AS id, round(sum(part), 9) AS kg, list(line ORDER BY br, at, line)[1:24] AS facts FROM lines GROUP BY ALL),
+  ds AS (SELECT query_id, d AS id, round(sum(part), 9) AS kg, list_slice(list(line ORDER BY br, posn, line), 1, 24) AS facts FROM lines GROUP BY ALL),
   topd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kg DESC, id) AS rank FROM ds) WHERE rank <= 5),
   ctx AS (SELECT query_id, rank, 'kg:' || id AS id, id AS document_id, kg, least(1.0, kg / 4) AS score,
      '## 知识图谱命中事实' || chr(10) || '- ' || array_to_string(facts, chr(10) || '- ') || chr(10) || chr(10) || '## 来源片段' || chr(10) ||
@@ -314,7 +314,7 @@ def kg_search(spark, sf):
 
 @query("K6 F10 F12", """WITH p AS (SELECT p_partkey AS d, p_name, p_brand, p_type, p_size FROM part),
 i AS (SELECT d, p_name, unnest(range(0, least(12, p_size))) AS pos, p_brand, p_type, p_size FROM p)
-SELECT d AS document_id, pos, 'skill' AS type, 'obj' || (pos % 3) AS name, sha256('spirit|' || lower(p_name)) AS subject_id,
+SELECT d AS document_id, 'skill' AS type, 'obj' || (pos % 3) AS name, sha256('spirit|' || lower(p_name)) AS subject_id,
 CASE WHEN pos % 2 = 0 THEN 'evolves to' ELSE 'has effect' END AS predicate,
 CASE pos % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.65 ELSE round(p_size / 100, 6) END AS confidence, 'seen in ' || p_brand AS evidence
 FROM i WHERE pos % 5 <> 4""")
@@ -329,13 +329,10 @@ def kg_enrich_merge(spark, sf):
     raw = F.concat(F.lit('```json\nHere: {"relations": ['), items, F.lit("]}\n```"))
     answers = table(spark, sf, "part").select(F.col("p_partkey").alias("document_id"), "p_name", raw.alias("raw"))
     nodes, relations = kg.merge_enrichment(answers, "document_id", "p_name", "raw")
-    keyed = nodes.select("document_id", "pos", "type", "name", kg.entity_id(F.col("type"), F.col("key")).alias("object_id"))
-    rel = relations.select(F.col("source_document_id").alias("document_id"), "id", "subject_id", "predicate", "object_id",
-                           F.round("confidence", 6).alias("confidence"), F.col("properties")["evidence"].alias("evidence"))
-    expected = F.sha2(F.concat_ws("|", F.col("document_id").cast("string"), F.lit("llm"), F.col("pos").cast("string"),
-                                  "subject_id", "predicate", "object_id"), 256)
-    both = keyed.join(rel, ["document_id", "object_id"]).filter(F.col("id") == expected)
-    return both.select("document_id", "pos", "type", "name", "subject_id", "predicate", "confidence", "evidence")
+    objects = kg.upsert_entities(nodes, ["document_id", "pos"]).select(F.col("id").alias("object_id"), "type", "name")
+    return relations.join(objects, "object_id").select(
+        F.col("source_document_id").alias("document_id"), "type", "name", "subject_id", "predicate",
+        F.round("confidence", 6).alias("confidence"), F.col("properties")["evidence"].alias("evidence"))
 
 
 @query("J8 P5 O3", """SELECT doc_id AS document_id, n_chars AS created_at FROM documents
