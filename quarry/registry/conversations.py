@@ -119,7 +119,10 @@ def saved_conversations(spark, sf):
 
 def trace_events(spark, sf):
     """Events as trace events; the last event of a finished trace closes it."""
-    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return as_trace_events(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+def as_trace_events(e):
     e = e.withColumn("trace_id", F.md5(F.concat_ws("|", "user_id", F.to_date("ts"))))
     name = (F.when(F.col("event_type") == "signup", "span.start").when(F.col("event_type") == "purchase", "span.end")
             .when(F.col("event_type") == "click", "react.step").when(F.col("event_type") == "error", "plan_execute")

@@ -52,7 +52,10 @@ ENT_SQL = FACTS_SQL + """,
 
 def part_documents(spark, sf) -> DataFrame:
     """Every part rendered as a document of labelled lines."""
-    p = table(spark, sf, "part")
+    return as_documents(table(spark, sf, "part"))
+
+
+def as_documents(p: DataFrame) -> DataFrame:
     word = F.split("p_name", " ")
     w1 = F.when(F.col("p_partkey") % 2 == 0, F.upper(word[0])).otherwise(word[0])
     w2 = F.coalesce(F.get(word, F.lit(1)), F.lit(""))
