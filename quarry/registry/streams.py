@@ -36,7 +36,7 @@ class StreamTables:
 def stream_memory(spark, sf):
     """Conversation memory as keyed state."""
     log = BatchLog(spark, "stream-memory")
-    log.run(state.memory_stream(StreamTables(spark, sf).messages(), 4, 300), "update")
+    log.run(state.memory_stream(StreamTables(spark, sf).messages(), 4, 300, ttl_ms=None), "update")
     return log.latest(["conversation_id"])
 
 
@@ -44,7 +44,7 @@ def stream_memory(spark, sf):
 def stream_traces(spark, sf):
     """Trace records as keyed state."""
     log = BatchLog(spark, "stream-traces")
-    log.run(state.trace_stream(StreamTables(spark, sf).events()), "update")
+    log.run(state.trace_stream(StreamTables(spark, sf).events(), ttl_ms=None), "update")
     return log.latest(["trace_id"]).drop("steps_seen")
 
 
@@ -52,7 +52,7 @@ def stream_traces(spark, sf):
 def stream_sessions(spark, sf):
     """Ten newest traces per session as keyed state."""
     log = BatchLog(spark, "stream-sessions")
-    log.run(state.session_stream(StreamTables(spark, sf).events(), 10), "update")
+    log.run(state.session_stream(StreamTables(spark, sf).events(), 10, ttl_ms=None), "update")
     return log.latest(["session_id"])
 
 

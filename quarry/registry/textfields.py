@@ -211,17 +211,12 @@ def rerank_join(spark, sf):
     q = variant_queries(spark, sf)
     given = table(spark, sf, "documents").filter("doc_id % 3 <> 0").select(
         F.col("doc_id").alias("id"), fusion.distance_score((F.col("doc_id") % 40) / 10).alias("rerank_score"))
-    fused = plan.multi_query(q, keyword_search(spark, sf), 5, _scores_for(q, given, keyword_search(spark, sf)))
+    score = lambda hits: hits.select("query_id", "id").join(given, "id")
+    fused = plan.multi_query(q, keyword_search(spark, sf), 5, score)
     out = fusion.min_score(fused.withColumn("score", F.col("final_score")))
     return out.select("query_id", "id", "rank", F.round("final_score", 6).alias("final_score"))
 
 
-def _scores_for(queries, given, search):
-    """Rerank scores of the documents each query retrieved."""
-    hits = plan.multi_query(queries, search, 15).select("query_id", "id")
-    return hits.join(given, "id")
-
-
 PLAN_SQL = f"""{bm25_sql()}, g0 AS (SELECT item_id AS query_id, doc_id AS id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY quality DESC, toxic, doc_id) AS rank
     FROM benchmark b JOIN (SELECT doc_id, quality, toxic, doc_id % 60 AS k FROM labels) l ON l.k = b.item_id),
   plan AS (SELECT query_id, doc_id FROM g0 WHERE rank <= 8),

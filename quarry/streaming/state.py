@@ -18,10 +18,18 @@ from quarry.operators.traces import MAX_EVENTS, MAX_STEPS, STEP_NAMES
 DAY_MS = 24 * 3600 * 1000
 
 
+def _time_mode(ttl_ms: int | None) -> str:
+    """Expiry needs processing time, and such a query goes on until it is stopped.
+
+    Without expiry a query can run over what has arrived and end.
+    """
+    return "None" if ttl_ms is None else "ProcessingTime"
+
+
 class ConversationMemory(StatefulProcessor):
     """Memory window per conversation; emits the whole window after each batch."""
 
-    def __init__(self, window: int, max_tokens: int, ttl_ms: int):
+    def __init__(self, window: int, max_tokens: int, ttl_ms: int | None):
         self.window, self.max_tokens, self.ttl_ms = window, max_tokens, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -40,18 +48,18 @@ class ConversationMemory(StatefulProcessor):
         pass
 
 
-def memory_stream(messages: DataFrame, window: int = 20, max_tokens: int = 4000, ttl_ms: int = DAY_MS) -> DataFrame:
+def memory_stream(messages: DataFrame, window: int = 20, max_tokens: int = 4000, ttl_ms: int | None = DAY_MS) -> DataFrame:
     """``messages``: streaming (conversation_id, index, role, content)."""
     key = messages.schema["conversation_id"].dataType.simpleString()
     return messages.select("conversation_id", "index", "role", "content").groupBy("conversation_id").transformWithStateInPandas(
         ConversationMemory(window, max_tokens, ttl_ms),
-        f"conversation_id {key}, index int, role string, content string", "Update", "ProcessingTime")
+        f"conversation_id {key}, index int, role string, content string", "Update", _time_mode(ttl_ms))
 
 
 class TraceRecord(StatefulProcessor):
     """Running record per trace with its last events and steps."""
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -75,7 +83,8 @@ class TraceRecord(StatefulProcessor):
                 ended, error = row.us, row.error if isinstance(row.error, str) else None
         self.head.update((session, started, ended, error, seen))
         self.events.put([(e,) for e in events])
-        self.steps.put([(s,) for s in steps])
+        if steps:  # an empty list is no legal state
+            self.steps.put([(s,) for s in steps])
         status = "running" if ended is None else "failed" if error else "success"
         duration = None if ended is None else (ended - started) // 1000
         yield pd.DataFrame({
@@ -87,18 +96,18 @@ class TraceRecord(StatefulProcessor):
         pass
 
 
-def trace_stream(events: DataFrame, ttl_ms: int = DAY_MS) -> DataFrame:
+def trace_stream(events: DataFrame, ttl_ms: int | None = DAY_MS) -> DataFrame:
     """``events``: streaming (trace_id, session_id, event_id, us, name, phase, error)."""
     return events.select("trace_id", "session_id", "event_id", "us", "name", "phase", "error").groupBy(
         "trace_id").transformWithStateInPandas(
         TraceRecord(ttl_ms), "trace_id string, session_id string, status string, started_us long, duration_ms long, "
-                             "n_events long, n_steps long, steps_seen long", "Update", "ProcessingTime")
+                             "n_events long, n_steps long, steps_seen long", "Update", _time_mode(ttl_ms))
 
 
 class SessionTraces(StatefulProcessor):
     """Newest traces per session."""
 
-    def __init__(self, limit: int, ttl_ms: int):
+    def __init__(self, limit: int, ttl_ms: int | None):
         self.limit, self.ttl_ms = limit, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -118,7 +127,7 @@ class SessionTraces(StatefulProcessor):
         pass
 
 
-def session_stream(events: DataFrame, limit: int = 50, ttl_ms: int = DAY_MS) -> DataFrame:
+def session_stream(events: DataFrame, limit: int = 50, ttl_ms: int | None = DAY_MS) -> DataFrame:
     """``events``: streaming (session_id, trace_id, us)."""
     return events.select("session_id", "trace_id", "us").groupBy("session_id").transformWithStateInPandas(
-        SessionTraces(limit, ttl_ms), "session_id string, trace_id string, rank int", "Update", "ProcessingTime")
+        SessionTraces(limit, ttl_ms), "session_id string, trace_id string, rank int", "Update", _time_mode(ttl_ms))
