@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from quarry.registry import CATALOG
@@ -27,6 +28,7 @@ def main() -> None:
         try:
             CATALOG.get(name).run(spark, sf_dir).write.format("noop").mode("overwrite").save()
             times[name] = round(time.time() - start, 3)
+            print(name, times[name], file=sys.stderr, flush=True)
         except Exception as exc:  # one failing query must not hide the others
             errors[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
     n_queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").count()

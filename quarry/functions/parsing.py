@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions.rows import unnest
 from quarry.functions.text import LINE_END, strip
 
 
@@ -115,7 +116,7 @@ def transcript_fields(c: Column) -> Column:
 def plan_rows(df, text_col: str, *keep: str):
     """One row per sub-task of a plan with defaults filled in (F16)."""
     obj = json_object(F.col(text_col))
-    rows = df.select(*keep, F.posexplode(json_items(obj, "subtasks")).alias("pos", "item"))
+    rows = unnest(df, json_items(obj, "subtasks"), "item", "pos", keep)
     rows = rows.select(*keep, "pos", json_strings(
         F.col("item"), "id", "title", "description", "action_type", "tool_name").alias("f"))
     get = lambda name: F.col(f"f.{name}")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.parsing import citation_numbers
+from quarry.functions.rows import unnest
 from quarry.operators.ranking import ordered_texts
 
 
@@ -41,7 +42,7 @@ def citations(answers: DataFrame, hits: DataFrame, max_chars: int = 200) -> Data
 
     ``answers`` has (query_id, answer), ``hits`` (query_id, rank, id, content).
     """
-    marks = answers.select("query_id", F.posexplode(citation_numbers(F.col("answer"))).alias("pos", "rank"))
+    marks = unnest(answers, citation_numbers(F.col("answer")), "rank", "pos", ["query_id"])
     cut = F.concat(F.left("content", F.lit(max_chars)),
                    F.when(F.length("content") > max_chars, "...").otherwise(""))
     found = marks.join(hits.select("query_id", "rank", "id", cut.alias("snippet")), ["query_id", "rank"])

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.rows import unnest
 from quarry.functions.text import blank
 from quarry.functions.vectors import cosine
 from quarry.operators.ordered import exact_median, running_sum
@@ -206,7 +207,7 @@ def cases_from_answers(answers: DataFrame, id_col: str, raw_col: str, per_chunk:
 
     # The cut comes before blank questions are dropped.
     pairs = F.slice(json_items(json_object(F.col(raw_col)), "qa_pairs"), 1, per_chunk)
-    rows = answers.select(F.col(id_col).cast("string").alias("chunk_id"), F.posexplode(pairs).alias("pos", "item"))
+    rows = unnest(answers, pairs, "item", "pos", [F.col(id_col).cast("string").alias("chunk_id")])
     field = lambda n: strip(F.coalesce(json_field(F.col("item"), n), F.lit("")))
     facts = F.coalesce(F.from_json(json_field(F.col("item"), "key_facts"), "array<string>"),
                        F.array().cast("array<string>"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarry.functions.parsing import clamped_float, json_items, json_object, json_strings
+from quarry.functions.rows import unnest
 from quarry.functions.text import (first_number, lines, name_key, normalize_name, number_range, split_items,
                                    strip)
 from quarry.operators.ranking import first_rows, ordered_texts
@@ -94,7 +95,7 @@ def field_values(df: DataFrame, id_col: str, text_col: str, filename_col: str) -
         F.coalesce(normalize_name(stem), F.lit("")))
     # The title is computed below the explode, once per document.
     rows = df.select(F.col(id_col).alias("document_id"), title.alias("title"), text.alias("text"))
-    rows = rows.select("document_id", "title", F.posexplode(_records(F.col("text"))).alias("i", "record"))
+    rows = unnest(rows, _records(F.col("text")), "record", "i", ["document_id", "title"])
     part = F.split("record", TAIL)
     rows = rows.select(
         "document_id", "title", "i", normalize_name(F.regexp_extract(part[0], FIELD_LINE, 1)).alias("key"),
@@ -106,7 +107,7 @@ def field_values(df: DataFrame, id_col: str, text_col: str, filename_col: str) -
     entries = (F.when(F.col("i") == 0, F.array(F.struct(none.alias("key"), none.alias("value"))))
                .when(F.col("raw").startswith("|") & F.col("raw").contains("="), _pairs(F.split("raw", r"\|")))
                .otherwise(F.array(F.struct("key", whole.alias("value")))))
-    rows = rows.select("document_id", "title", "i", F.posexplode(entries).alias("j", "e"))
+    rows = unnest(rows, entries, "e", "j", ["document_id", "title", "i"])
     rows = rows.select("document_id", "title", "i", "j", F.col("e.key").alias("key"), F.col("e.value").alias("value"))
     # "a|k=v" keeps its head under the key and hands the pairs on, after all own values.
     parts = F.split("value", r"\|")
@@ -114,8 +115,7 @@ def field_values(df: DataFrame, id_col: str, text_col: str, filename_col: str) -
     mixed = F.when(F.col("value").contains("|") & F.col("value").contains("="), F.concat(
         F.when(strip(parts[0]) != "", head).otherwise(F.slice(head, 1, 0)),
         _pairs(F.slice(parts, 2, F.size(parts))))).otherwise(F.array(F.struct("key", "value")))
-    rows = rows.select("document_id", "title", "i", "j", F.col("key").alias("own_key"),
-                       F.posexplode(mixed).alias("p", "e"))
+    rows = unnest(rows, mixed, "e", "p", ["document_id", "title", "i", "j", F.col("key").alias("own_key")])
     moved = F.coalesce((F.col("e.key") != F.col("own_key")) | (F.col("p") > 0), F.lit(False))
     return rows.select("document_id", "title", F.struct(moved.alias("moved"), "i", "j", "p").alias("seq"),
                        F.col("e.key").alias("key"), F.col("e.value").alias("value"))
@@ -143,7 +143,7 @@ def extract_facts(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     items = F.when(F.col("kind") == "entity", F.filter(split_items(F.col("value")),
                                                        lambda s: (s != "-") & ~s.contains("="))
                    ).otherwise(F.array(F.lit(None).cast("string")))
-    r = r.select("*", F.posexplode(items).alias("item_no", "object"))
+    r = unnest(r, items, "object", "item_no")
     kind = F.col("kind")
     span = number_range(F.col("value"))
     facts = r.select(
@@ -270,8 +270,8 @@ def document_stats(rows: DataFrame, facts: DataFrame, candidates: DataFrame) ->
 def merge_enrichment(answers: DataFrame, id_col: str, subject_col: str, raw_col: str, max_relations: int = 12):
     """(nodes, relations) from model JSON, at most ``max_relations`` items each (K6)."""
     items = F.slice(json_items(json_object(F.col(raw_col)), "relations"), 1, max_relations)
-    rows = answers.select(F.col(id_col).alias("document_id"), F.col(subject_col).alias("subject"),
-                          F.posexplode(items).alias("pos", "item"))
+    rows = unnest(answers, items, "item", "pos", [F.col(id_col).alias("document_id"),
+                                                   F.col(subject_col).alias("subject")])
     rows = rows.select("document_id", "subject", "pos", json_strings(
         F.col("item"), "predicate", "object", "object_type", "confidence", "evidence").alias("f"))
     field = lambda n: F.col(f"f.{n}")

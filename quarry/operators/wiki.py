@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.rows import unnest
 from quarry.functions.text import strip, strip_markup
 from quarry.operators.ranking import first_rows, top_k
 
@@ -50,7 +51,7 @@ def effectiveness(df: DataFrame, id_col: str, attributes: Column, chart: DataFra
     The chart is a fixed small table, so each record is looked up in place and
     the sets (at most the chart's attributes) merge per record.
     """
-    each = df.select(id_col, F.explode(attributes).alias("attribute")).withColumn("attribute", strip(F.col("attribute")))
+    each = unnest(df, attributes, "attribute", keep=[id_col]).withColumn("attribute", strip(F.col("attribute")))
     hit = each.join(F.broadcast(chart), "attribute")
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
     return hit.groupBy(id_col).agg(union("strong"), union("resist"), union("weak"))
@@ -93,7 +94,7 @@ def template_fields(df: DataFrame, id_col: str, text_col: str, template: str = "
     block = F.regexp_extract(text_col, r"(\{\{" + template + r"(?:/精灵)?[\s\S]*?\n\}\})", 1)
     pair = r"\|\s*([^=|\n]+?)\s*=\s*([\s\S]*?)(?=\n\||\n\}\})"
     keys, values = (F.regexp_extract_all(block, F.lit(pair), i) for i in (1, 2))
-    rows = df.select(id_col, F.posexplode(F.arrays_zip(keys.alias("k"), values.alias("v"))).alias("pos", "kv"))
+    rows = unnest(df, F.arrays_zip(keys.alias("k"), values.alias("v")), "kv", "pos", [id_col])
     value = F.regexp_replace(strip(strip_markup(F.col("kv.v"))), r"\{\{[^}]+\}\}", "")
     rows = rows.select(id_col, "pos", strip(F.col("kv.k")).alias("key"), value.alias("value"))
     # A repeated key keeps its last value.
@@ -127,8 +128,9 @@ def printout_fields(df: DataFrame, json_col: str) -> DataFrame:
     """(page, key, pos, value) of a query answer's printouts."""
     # A value is a string, a number or an object with `fulltext`; all read as text.
     pages = F.from_json(json_col, "map<string, struct<printouts: map<string, array<string>>>>")
-    rows = (df.select(F.explode(pages).alias("page", "p")).select("page", F.explode("p.printouts").alias("key", "vals"))
-            .select("page", "key", F.posexplode("vals").alias("pos", "raw")))
+    rows = df.select(F.explode_outer(pages).alias("page", "p")).filter("page IS NOT NULL")
+    rows = rows.select("page", F.explode_outer("p.printouts").alias("key", "vals")).filter("key IS NOT NULL")
+    rows = unnest(rows, "vals", "raw", "pos", ["page", "key"])
     full = F.when(F.col("raw").startswith("{"), F.coalesce(F.get_json_object("raw", "$.fulltext"), F.col("raw")))
     value = F.replace(F.replace(F.coalesce(full, F.col("raw")), F.lit("<desc_id="), F.lit("[")), F.lit("</>"), F.lit("]"))
     return rows.select("page", "key", "pos", value.alias("value")).filter("value <> '' AND value <> 'None'")
@@ -159,5 +161,5 @@ def rule_questions(records: DataFrame, fields: dict[str, str], max_questions: in
         q(F.length(f["ability"]) > 5, F.concat(name, F.lit("有什么特性？")), F.left(f["ability"], F.lit(100)),
           "descriptive"))
     kept = F.slice(F.filter(options, lambda x: x.isNotNull()), 1, max_questions)
-    return records.select("source_file", F.posexplode(kept).alias("pos", "q")).select(
+    return unnest(records, kept, "q", "pos", ["source_file"]).select(
         "source_file", "pos", "q.question", "q.answer_ref", "q.type")

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.session import spread
+
 
 @dataclass(frozen=True)
 class Entry:
@@ -51,5 +53,10 @@ def query(operators: str, sql: str | None = None, name: str | None = None):
     return wrap
 
 
+# Tables whose rows are worked on one by one (parsed, tokenised, chunked).
+ROW_WISE = ("documents", "pages", "conversations", "part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ROW_WISE else df

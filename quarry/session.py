@@ -62,3 +62,14 @@ def cut_lineage(df: DataFrame, purpose: str = "cut") -> DataFrame:
 def fits(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> bool:
     """True when ``df`` has at most ``max_rows`` rows (reads no more than needed)."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input of few files over all cores.
+
+    A scan has at least one task per row group; a small table in one file
+    would leave row-wise work such as tokenising to a single task.  Inputs that
+    already have a task per core are left alone, so large tables never shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

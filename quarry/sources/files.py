@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.rows import unnest
 from quarry.functions.text import safe_name, strip
-from quarry.operators.chunking import chunk_table, chunks
+from quarry.operators.chunking import chunk_arrays, chunk_table
 from quarry.operators.extraction import chunk_id
 
 MAX_CHARS = 500_000
@@ -45,8 +46,8 @@ def read_files(spark: SparkSession, path: str, max_chars: int = MAX_CHARS, strea
 def corpus_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, key, value) of ``key: value`` lines below a folder."""
     text = spark.read.option("wholetext", True).option("recursiveFileLookup", "true").text(path)
-    rows = text.select(F.col("_metadata.file_name").alias("file"),
-                       F.posexplode(F.split(strip(F.col("value")), "\n")).alias("line_no", "line"))
+    rows = unnest(text, F.split(strip(F.col("value")), "\n"), "line", "line_no",
+                  [F.col("_metadata.file_name").alias("file")])
     parts = F.split("line", ": ", 2)
     return rows.filter(F.col("line").contains(": ")).select(
         "file", "line_no", strip(parts[0]).alias("key"), strip(parts[1]).alias("value"))
@@ -60,8 +61,8 @@ def ingest(documents: DataFrame, strategy: str = "recursive", size: int = 512, o
     """
     table = chunk_table(documents, "document_id", "text", strategy, size, overlap)
     table = table.withColumn("id", chunk_id(F.col("document_id"), F.col("chunk_index")))
-    n = F.size(chunks(F.col("text"), strategy, size, overlap))
-    outcome = documents.select("document_id", "filename", "warning", n.alias("chunk_count")).select(
+    arrays = chunk_arrays(documents, "text", ["document_id", "filename", "warning"], strategy, size, overlap)
+    outcome = arrays.select(
         "document_id", "filename", "chunk_count",
         F.when(F.col("chunk_count") > 0, "ready").otherwise("failed").alias("status"),
         F.when(F.col("chunk_count") > 0, "").otherwise(F.coalesce("warning", F.lit("empty"))).alias("message"))
