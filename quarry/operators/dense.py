@@ -40,7 +40,7 @@ def _scores(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarray:
     return -np.round(np.maximum(sq - 2.0 * (queries @ corpus.T), 0.0), DIGITS) + 0.0
 
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
+def best_positions(scores: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best scores; earlier positions win ties."""
     if len(scores) <= k:
         return np.argsort(-scores, kind="stable")
@@ -56,7 +56,7 @@ def _block_topk(query_ids, queries: np.ndarray, pdf: pd.DataFrame, k: int, metri
     pdf = pdf.sort_values("id", kind="stable")
     ids = pdf["id"].to_numpy()
     scores = _scores(queries, _matrix(pdf["vec"].to_list()), metric)
-    rows = [_best(row, k) for row in scores]
+    rows = [best_positions(row, k) for row in scores]
     return pd.DataFrame({
         "query_id": np.repeat(np.asarray(query_ids), [len(r) for r in rows]),
         "id": ids[np.concatenate(rows)],
@@ -64,7 +64,7 @@ def _block_topk(query_ids, queries: np.ndarray, pdf: pd.DataFrame, k: int, metri
     })
 
 
-def _keep_topk(found: pd.DataFrame, k: int) -> pd.DataFrame:
+def keep_topk(found: pd.DataFrame, k: int) -> pd.DataFrame:
     found = found.sort_values(["query_id", "score", "id"], ascending=[True, False, True], kind="stable")
     return found.groupby("query_id", sort=False).head(k)
 
@@ -92,7 +92,7 @@ def _search_small(corpus: DataFrame, queries: DataFrame, k: int, metric: str, sc
         for pdf in batches:
             if len(pdf):
                 found = _block_topk(ids, matrix, pdf, k, metric)
-                best = found if best is None else _keep_topk(pd.concat([best, found]), k)
+                best = found if best is None else keep_topk(pd.concat([best, found]), k)
         if best is not None:
             yield best
 
@@ -215,7 +215,7 @@ def _nearest_cells(queries: DataFrame, centroids: DataFrame, n_probe: int) -> Da
             if not len(pdf):
                 continue
             scores = _scores(_matrix(pdf["vec"].to_list()), centers, "cosine")
-            picked = [_best(row, n_probe) for row in scores]
+            picked = [best_positions(row, n_probe) for row in scores]
             out = pdf.loc[pdf.index.repeat([len(p) for p in picked])].copy()
             out["cell"] = cells[np.concatenate(picked)]
             yield out
