@@ -243,9 +243,11 @@ def document_text(chunks: DataFrame) -> DataFrame:
 def build_graph(documents: DataFrame, mapping: DataFrame, created_col: str = "created_at"):
     """(entities, relations) of a document table (K5).
 
-    ``documents`` has (document_id, text, filename, created_at).
+    ``documents`` has (document_id, text, filename, created_at).  The field
+    rows are written once to the shared folder: entities, properties and
+    relations all read them, and texts are parsed a single time.
     """
-    rows = field_rows(documents, "document_id", "text", "filename")
+    rows = cut_lineage(field_rows(documents, "document_id", "text", "filename"), "fields")
     facts = extract_facts(rows, mapping)
     nodes = document_nodes(rows, facts).join(documents.select("document_id", created_col), "document_id")
     nodes = nodes.withColumn("source_document_id", F.col("document_id"))
