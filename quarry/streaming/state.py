@@ -18,6 +18,14 @@ from quarry.operators.traces import MAX_EVENTS, MAX_STEPS, STEP_NAMES
 DAY_MS = 24 * 3600 * 1000
 
 
+def _keyed(df: DataFrame, key: str):
+    """Grouped by key, on the state store that list state needs."""
+    df.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return df.groupBy(key)
+
+
 def _time_mode(ttl_ms: int | None) -> str:
     """Expiry needs processing time, and such a query goes on until it is stopped.
 
@@ -51,7 +59,8 @@ class ConversationMemory(StatefulProcessor):
 def memory_stream(messages: DataFrame, window: int = 20, max_tokens: int = 4000, ttl_ms: int | None = DAY_MS) -> DataFrame:
     """``messages``: streaming (conversation_id, index, role, content)."""
     key = messages.schema["conversation_id"].dataType.simpleString()
-    return messages.select("conversation_id", "index", "role", "content").groupBy("conversation_id").transformWithStateInPandas(
+    rows = messages.select("conversation_id", "index", "role", "content")
+    return _keyed(rows, "conversation_id").transformWithStateInPandas(
         ConversationMemory(window, max_tokens, ttl_ms),
         f"conversation_id {key}, index int, role string, content string", "Update", _time_mode(ttl_ms))
 
@@ -98,8 +107,8 @@ class TraceRecord(StatefulProcessor):
 
 def trace_stream(events: DataFrame, ttl_ms: int | None = DAY_MS) -> DataFrame:
     """``events``: streaming (trace_id, session_id, event_id, us, name, phase, error)."""
-    return events.select("trace_id", "session_id", "event_id", "us", "name", "phase", "error").groupBy(
-        "trace_id").transformWithStateInPandas(
+    rows = events.select("trace_id", "session_id", "event_id", "us", "name", "phase", "error")
+    return _keyed(rows, "trace_id").transformWithStateInPandas(
         TraceRecord(ttl_ms), "trace_id string, session_id string, status string, started_us long, duration_ms long, "
                              "n_events long, n_steps long, steps_seen long", "Update", _time_mode(ttl_ms))
 
@@ -129,5 +138,5 @@ class SessionTraces(StatefulProcessor):
 
 def session_stream(events: DataFrame, limit: int = 50, ttl_ms: int | None = DAY_MS) -> DataFrame:
     """``events``: streaming (session_id, trace_id, us)."""
-    return events.select("session_id", "trace_id", "us").groupBy("session_id").transformWithStateInPandas(
+    return _keyed(events.select("session_id", "trace_id", "us"), "session_id").transformWithStateInPandas(
         SessionTraces(limit, ttl_ms), "session_id string, trace_id string, rank int", "Update", _time_mode(ttl_ms))
