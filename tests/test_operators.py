@@ -139,6 +139,16 @@ def test_substring_and_jaccard_joins(spark):
     assert got == want
 
 
+def test_cache_lookup_mixes_vectors_and_tokens(spark):
+    queries = spark.createDataFrame([(1, "a b", [1.0, 0.0]), (2, "x y z", [0.0, 1.0])],
+                                    "query_id long, text string, vec array<double>")
+    entries = spark.createDataFrame(
+        [(10, "far", "v10", [0.0, 1.0], 9), (11, "old", "v11", [1.0, 0.0], 1), (12, "A  b", "v12", None, 9)],
+        "entry_id long, query_text string, value string, vec array<double>, expires_at int")
+    got = {r["query_id"]: r["value"] for r in matching.cache_lookup(queries, entries, F.lit(5)).collect()}
+    assert got == {1: "v12", 2: "v10"}
+
+
 def test_memory_compression():
     state = []
     for i in range(21):
