@@ -204,3 +204,17 @@ def test_file_stream(spark, tmp_path):
     jobs.ingest_stream(docs, rows, outcomes, "fixed", 100, 0)
     assert rows.read().count() == 2
     assert {r["document_id"]: r["status"] for r in outcomes.read().collect()} == {"x": "ready", "y": "failed"}
+
+
+def test_published_metric_summary(spark):
+    # Published per-case context precision and faithfulness of ten cases.
+    scores = {"context_precision": [1.0, 0.6387, 0.2, 0.2, 0.3333, 0.2, 0.3167, 0.2, 0.4048, 0.2],
+              "faithfulness": [1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0.6667, 1.0, 1.0]}
+    rows = [(i, m, v) for m, vs in scores.items() for i, v in enumerate(vs)]
+    got = {r["metric"]: r for r in ev.metric_summary(
+        spark.createDataFrame(rows, "query_id int, metric string, value double")).collect()}
+    want = {"context_precision": (0.3694, 0.2583, 0.2488), "faithfulness": (0.9667, 1.0, 0.1)}
+    for metric, values in want.items():
+        for name, value in zip(("mean", "median", "std"), values):
+            assert abs(got[metric][name] - value) <= 1e-4, (metric, name)
+        assert got[metric]["available"] == 10
