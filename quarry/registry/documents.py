@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.text import safe_name, strip_markup
+from quarry.functions.text import strip_markup
 from quarry.operators import catalog, evaluation as ev, filters, matching, wiki
 from quarry.operators.ranking import sample_chunks, sample_rows
 from quarry.registry.catalog import query, table

@@ -11,7 +11,6 @@ from quarry.functions.text import normalize_name
 from quarry.operators import extraction as kg
 from quarry.operators import graph
 from quarry.operators.chunking import chunk_table
-from quarry.operators.ranking import first_rows
 from quarry.registry.catalog import query, table
 
 # --- part records as `key: value` documents -------------------------------------------
