@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +41,23 @@ def local_session(cores: str = "*", memory: str = "8g") -> SparkSession:
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application; they need not have the folder."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="quarry-ship-"), "quarry-package.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in sorted(top.rglob("*.py")):
+            archive.write(path, path.relative_to(top.parent))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared checkpoint folder of the cluster.
 
