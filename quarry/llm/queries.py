@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, fingerprints, html, mixing, packing, pfor, quality, sharding
+from quarry.llm import ann, fingerprints, html, mixing, packing, partenum, pfor, quality, sharding
 from quarry.llm.common import scratch
 from quarry.llm.tokens import vocabulary_file
 
@@ -40,6 +40,12 @@ def op1_token_files(spark, sf_dir):
     return pfor.read_tokens(spark, path)
 
 
+@query()
+def op2_jaccard(spark, sf_dir):
+    """Classes of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    return partenum.jaccard_classes(table(spark, sf_dir, "documents"), shingle_words=3, num=9, den=10)
+
+
 @query()
 def op3_quality(spark, sf_dir):
     """Quality score of every document from boosted trees over text statistics."""
