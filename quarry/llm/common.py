@@ -31,12 +31,19 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the folders this session staged; call it when nothing that reads them is still to run."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in _FOLDERS.pop(spark.sparkContext.applicationId, []):
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+def release(spark: SparkSession, needed: DataFrame | None = None) -> None:
+    """Delete the folders this session staged, but for those that ``needed`` reads.
+
+    Call it when nothing else that reads them is still to run.
+    """
+    app = spark.sparkContext.applicationId
+    files = needed.inputFiles() if needed is not None else []
+    inside = lambda path: any(path.split("://")[-1].split(":")[-1].lstrip("/") in f for f in files)
+    folders = _FOLDERS.pop(app, [])
+    _FOLDERS[app] = [f for f in folders if inside(f)]
+    for path in set(folders) - set(_FOLDERS[app]):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def width(spark: SparkSession) -> int:

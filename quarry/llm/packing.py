@@ -75,7 +75,10 @@ class Packer:
     def flush(self, last: bool) -> list[tuple[int, list[tuple[int, int, int]]]]:
         """Full windows of all tiers; at the last call also windows for the binary digits of the remaining tokens."""
         for tier, below in zip(self.tiers[::-1], [*self.tiers[-2::-1], 0], strict=True):
-            while self.waiting and self.waiting[-1][0] > below and self.tokens >= tier:
+            while self.tokens >= tier:
+                at = bisect_right(self.waiting, (tier, self.arrived + 1, 0, 0)) - 1
+                if at < 0 or self.waiting[at][0] <= below:
+                    break
                 self._fill(tier)
         while last and self.tokens:
             # the largest power of two that fits, cut from the longest pieces

@@ -22,7 +22,7 @@ from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stage, width
@@ -189,28 +189,34 @@ def together(signed: DataFrame) -> DataFrame:
     return inner.unionByName(outer).filter("center <> member").distinct()
 
 
-def verify(pairs: DataFrame, contents: DataFrame, shingle_words: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between the nodes that ``pairs`` (center, member) brings together, as spanning forests.
+def blocks(pairs: DataFrame, contents: DataFrame) -> DataFrame:
+    """Tasks that bring together all nodes under a center of ``pairs`` (center, member).
 
-    ``contents`` has node, text and weight.  All pairs of nodes under a center
-    are compared.  A center's nodes are dealt into blocks of bounded weight by
-    their hash, and each pair of blocks is a task of its own, so memory does
-    not grow with the group.
+    ``contents`` has node, text and weight.  A center's nodes are dealt into
+    blocks of bounded weight by their hash, and each pair of blocks is a task
+    of its own, so memory does not grow with the group.  Rows are center, low
+    and high (blocks), side (1: of the block ``high``), member and text, those
+    of a task together.
     """
     spark = pairs.sparkSession
     own = pairs.select("center", F.col("center").alias("member")).distinct()
     members = stage(pairs.unionByName(own), "members")
     weights = contents.select(F.col("node").alias("member"), F.expr(f"1 + weight div {WEIGHT}").alias("_w"))
-    blocks = members.join(weights, "member").groupBy("center").agg(F.ceil(F.sum("_w") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "center").withColumn(
+    counts = members.join(weights, "member").groupBy("center").agg(F.ceil(F.sum("_w") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(counts, "center").withColumn(
         "own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     placed = dealt.select("member", "center", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = placed.select("member", "center", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
                            (F.col("own") > F.col("other")).cast("int").alias("side"))
     texts = contents.select(F.col("node").alias("member"), "text")
-    rows = placed.join(texts, "member").repartition(width(spark), "center", "low", "high") \
+    return placed.join(texts.hint("merge"), "member").repartition(width(spark), "center", "low", "high") \
         .sortWithinPartitions("center", "low", "high", "side", "member").select("center", "low", "high", "side", "member", "text")
 
+
+def verify(pairs: DataFrame, contents: DataFrame, shingle_words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) among the nodes that ``pairs`` brings together, as a spanning forest for each task of ``blocks``."""
+    rows = blocks(pairs, contents)
+
     def compare(batches):
         key, held = None, []
 
@@ -283,11 +289,11 @@ def jaccard_classes(docs: DataFrame, shingle_words: int = 5, num: int = 4, den:
 
     nodes = heads.select(F.col("head").alias("doc_id")).distinct()
     signed = rows.filter("doc_id is not null").mapInArrow(sign, "doc_id long, signatures array<long>")
-    signed = signed.join(nodes, "doc_id", "left_semi").select(
+    signed = signed.join(nodes.hint("merge"), "doc_id", "left_semi").select(
         F.explode("signatures").alias("signature"), F.col("doc_id").alias("node"))
     pairs = stage(together(signed), "pairs")
     needed = pairs.select(F.col("center").alias("doc_id")).unionByName(pairs.select(F.col("member").alias("doc_id"))).distinct()
-    contents = rows.join(needed, "doc_id", "left_semi").select(
+    contents = rows.join(needed.hint("merge"), "doc_id", "left_semi").select(
         F.col("doc_id").alias("node"), "text").distinct()
     contents = stage(contents, "contents").withColumn("weight", F.expr("octet_length(text) div 6"))
     links = verify(pairs, contents, shingle_words, num, den)
@@ -296,3 +302,19 @@ def jaccard_classes(docs: DataFrame, shingle_words: int = 5, num: int = 4, den:
     reached = components(links.unionByName(copies))
     return described.join(reached, described.doc_id == reached.node, "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle_words: int = 5, num: int = 4, den: int = 5, key: str = "doc_id",
+                text: str = "text") -> DataFrame:
+    """``docs`` with the row of smallest id of each class only; rows without id are kept.
+
+    Of rows that share an id the one of smallest text (then other columns)
+    stays.
+    """
+    classes = jaccard_classes(docs, shingle_words, num, den, key, text)
+    gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone.hint("merge"), F.col(key) == F.col("_gone"), "left_anti")
+    alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    others = [c for c in docs.columns if c not in (key, text)]
+    order = Window.partitionBy(key, "_alone").orderBy(F.octet_length(text), text, *[F.col(c).cast("string") for c in others])
+    return left.withColumn("_alone", alone).withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(*docs.columns)

@@ -241,3 +241,22 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
 
     return rows.select(*keep, held_out(F.col(key)).alias("held_out"), score("statistics").alias("score")).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text",
+             **options) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, with all their columns.
+
+    Statistics are staged without texts to fit the forest and made again where
+    the rows are filtered, so no text is shuffled or written.
+    """
+    forest = train(stage(with_statistics(docs, [key], text), "statistics"), labels, key=key, **options)
+    at = docs.columns.index(text)
+
+    def work(batches):
+        for batch in batches:
+            column = batch.column(at)
+            keep = [forest.score(statistics(words, words.data)) >= threshold for _, words in runs_of(column, lower=False)]
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+
+    return docs.mapInArrow(work, docs.schema)

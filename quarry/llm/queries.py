@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, fingerprints, html, mixing, packing, partenum, pfor, quality, sharding
+from quarry.llm import ann, fingerprints, html, mixing, packing, partenum, passages, pfor, quality, sharding
 from quarry.llm.common import scratch
 from quarry.llm.tokens import vocabulary_file
 
@@ -108,6 +108,12 @@ def op8_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_file(VOCABULARY), end_id=1)
 
 
+@query()
+def op9_passages(spark, sf_dir):
+    """Spans of documents that repeat a passage of more than 50 words, or a similar paragraph, of a smaller id."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_fingerprints(spark, sf_dir):
     """Fingerprint of every document and of its edited text."""
