@@ -202,8 +202,8 @@ def blocks(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     own = pairs.select("center", F.col("center").alias("member")).distinct()
     members = stage(pairs.unionByName(own), "members")
     weights = contents.select(F.col("node").alias("member"), F.expr(f"1 + weight div {WEIGHT}").alias("_w"))
-    counts = members.join(weights, "member").groupBy("center").agg(F.ceil(F.sum("_w") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(counts, "center").withColumn(
+    counts = members.join(weights.hint("merge"), "member").groupBy("center").agg(F.ceil(F.sum("_w") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(counts.hint("merge"), "center").withColumn(
         "own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     placed = dealt.select("member", "center", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = placed.select("member", "center", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
