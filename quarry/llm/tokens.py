@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 
 from quarry.llm.common import slices, text_buffer
 
-SLICE = 12_000_000  # bytes of text encoded at a time
-KNOWN = 1_500_000  # pieces whose ids a worker keeps; others are encoded again
+SLICE = 3_000_000  # bytes of text encoded at a time
+KNOWN = 500_000  # pieces whose ids a worker keeps; others are encoded again
 JOINED = 2_000  # pieces handed to the library in one call
 
 
@@ -126,4 +126,6 @@ class Encoder:
         for low, high in slices(offsets, SLICE):
             ids, counts = self._slice(texts.slice(low, high - low))
             yield low, ids, counts
+            del ids, counts
+            pa.default_memory_pool().release_unused()
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 
 from quarry.llm.common import slices, text_buffer
 
-SLICE = 2_000_000  # bytes of text hashed at a time
+SLICE = 1_000_000  # bytes of text hashed at a time
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -102,3 +102,4 @@ def runs_of(column: pa.Array, lower: bool = True):
     data, offsets = text_buffer(column)
     for low, high in slices(offsets, SLICE):
         yield low, Words(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], lower)
+    pa.default_memory_pool().release_unused()
