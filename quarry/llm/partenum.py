@@ -11,7 +11,9 @@ set with too many parts that have a choice without features also emits
 signatures of empty choices, which keeps the join exact; others leave them out.
 
 Sets with a signature in common are brought together under the smallest of
-them, and all pairs brought together are verified exactly, block by block.
+them.  Odd sketches, a lower bound of the features in which two sets differ,
+leave out sets that are similar to none they meet; all pairs of the others are
+verified exactly, block by block.
 """
 
 from __future__ import annotations
@@ -189,61 +191,133 @@ def together(signed: DataFrame) -> DataFrame:
     return inner.unionByName(outer).filter("center <> member").distinct()
 
 
-def blocks(pairs: DataFrame, contents: DataFrame) -> DataFrame:
-    """Tasks that bring together all nodes under a center of ``pairs`` (center, member).
+def groups_of(pairs: DataFrame) -> DataFrame:
+    """Rows (center, member) of ``pairs`` and each center as a member of its own group."""
+    return pairs.unionByName(pairs.select("center", F.col("center").alias("member")).distinct())
 
-    ``contents`` has node, text and weight.  A center's nodes are dealt into
-    blocks of bounded weight by their hash, and each pair of blocks is a task
-    of its own, so memory does not grow with the group.  Rows are center, low
-    and high (blocks), side (1: of the block ``high``), member and text, those
-    of a task together.
+
+def blocks(members: DataFrame, contents: DataFrame) -> DataFrame:
+    """Tasks that bring together all members of each center of ``members`` (center, member).
+
+    ``contents`` has node, weight and columns to carry.  A center's members are
+    dealt into blocks of bounded weight by their hash, and each pair of blocks
+    is a task of its own, so memory does not grow with the group.  Rows are
+    center, low and high (blocks), side (1: of the block ``high``), member and
+    the columns carried, those of a task together.
     """
-    spark = pairs.sparkSession
-    own = pairs.select("center", F.col("center").alias("member")).distinct()
-    members = stage(pairs.unionByName(own), "members")
     weights = contents.select(F.col("node").alias("member"), F.expr(f"1 + weight div {WEIGHT}").alias("_w"))
-    counts = members.join(weights.hint("merge"), "member").groupBy("center").agg(F.ceil(F.sum("_w") / BLOCK).cast("int").alias("blocks"))
+    counts = members.join(weights.hint("merge"), "member").groupBy("center").agg(
+        F.ceil(F.sum("_w") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(counts.hint("merge"), "center").withColumn(
         "own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     placed = dealt.select("member", "center", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = placed.select("member", "center", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
                            (F.col("own") > F.col("other")).cast("int").alias("side"))
-    texts = contents.select(F.col("node").alias("member"), "text")
-    return placed.join(texts.hint("merge"), "member").repartition(width(spark), "center", "low", "high") \
-        .sortWithinPartitions("center", "low", "high", "side", "member").select("center", "low", "high", "side", "member", "text")
+    task = ["center", "low", "high"]
+    carried = contents.withColumnRenamed("node", "member").drop("weight")
+    return placed.join(carried.hint("merge"), "member").repartition(width(members.sparkSession), *task) \
+        .sortWithinPartitions(*task, "side", "member").select(*task, "side", *carried.columns)
 
 
-def verify(pairs: DataFrame, contents: DataFrame, shingle_words: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) among the nodes that ``pairs`` brings together, as a spanning forest for each task of ``blocks``."""
-    rows = blocks(pairs, contents)
+def sketches(features: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Odd sketches: bit h of a set tells whether an odd number of its features has hash h.
+
+    A sketch has a power of two of bits, at least 4 for each feature; xor of its
+    halves is the sketch of half the bits.  Two sets differ in at least as many
+    features as their sketches differ in bits.
+    """
+    sizes = np.diff(offsets)
+    bits = np.left_shift(1, np.ceil(np.log2(np.maximum(64, 4 * sizes))).astype(np.int64))
+    at = np.concatenate([[0], np.cumsum(bits)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = mix(features ^ np.uint64(0x94D049BB133111EB)) & (bits[owner] - 1).astype(np.uint64)
+    odd = np.packbits(np.bincount(at[owner] + place.astype(np.int64), minlength=at[-1]) & 1)
+    return [odd[a // 8:b // 8].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def may_link(sketched: list[bytes], sizes: np.ndarray, left: int, num: int, den: int) -> np.ndarray:
+    """Sets that, by their sketches, may be similar to another one (across the sides if ``left`` is below all)."""
+    least = min(map(len, sketched))
+    rows = []
+    for raw in sketched:
+        x = np.frombuffer(raw, np.uint8)
+        while len(x) > least:
+            x = x[:len(x) // 2] ^ x[len(x) // 2:]
+        rows.append(x)
+    x = np.stack(rows).view(np.uint64)
+    n = len(x)
+    out = np.zeros(n, bool)
+    for i in range(left if left < n else n - 1):
+        others = np.arange(left if left < n else i + 1, n)
+        both = sizes[i] + sizes[others]
+        apart = np.bitwise_count(x[others] ^ x[i]).sum(axis=1, dtype=np.int64)
+        near = others[(apart * (den + num) <= (den - num) * both) & (num * np.maximum(sizes[i], sizes[others])
+                                                                     <= den * np.minimum(sizes[i], sizes[others]))]
+        if len(near):
+            out[i] = out[near] = True
+    return out
+
+
+def tasks_of(batches, *columns: str):
+    """(members, rows of the low block, columns) of each task with two sides to compare, from rows of ``blocks``."""
+    task, held, left = None, [], 0
+
+    def close():
+        alone = task[1] == task[2]
+        if len(held) > 1 and (alone or 0 < left < len(held)):
+            yield [h[0] for h in held], len(held) if alone else left, [[h[i] for h in held] for i in range(1, len(columns) + 1)]
+
+    for batch in batches:
+        values = [batch.column(c).to_pylist() for c in ("center", "low", "high", "side", "member", *columns)]
+        for center, low, high, side, *row in zip(*values, strict=True):
+            if (center, low, high) != task:
+                if task:
+                    yield from ((task[0], t) for t in close())
+                task, held, left = (center, low, high), [], 0
+            held.append(row)
+            left += side == 0
+    if task:
+        yield from ((task[0], t) for t in close())
 
-    def compare(batches):
-        key, held = None, []
-
-        def close():
-            names = [h[0] for h in held]
-            left = sum(1 for h in held if h[1] == 0) if key[1] != key[2] else len(held)
-            if key[1] != key[2] and left == len(held):
-                return
-            if len(held) > 1:
-                pairs = linked([h[2] for h in held], left, num, den)
-                if pairs:
-                    yield pa.RecordBatch.from_pydict({"a": pa.array([names[i] for i, _ in pairs], pa.int64()),
-                                                      "b": pa.array([names[j] for _, j in pairs], pa.int64())})
 
+def likely(members: DataFrame, contents: DataFrame, shingle_words: int, num: int, den: int) -> DataFrame:
+    """The rows of ``members`` whose sketch does not rule out every other member of the group."""
+
+    def describe(batches):
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("center", "low", "high")), strict=True))
-            sides, names = batch.column("side").to_pylist(), batch.column("member").to_pylist()
             for low, words in runs_of(batch.column("text")):
                 features, offsets = words.sets(shingle_words)
-                for i in range(words.rows):
-                    if keys[low + i] != key:
-                        if key is not None:
-                            yield from close()
-                        key, held = keys[low + i], []
-                    held.append((names[low + i], sides[low + i], features[offsets[i]:offsets[i + 1]]))
-        if key is not None:
-            yield from close()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node").slice(low, words.rows), pa.array(np.diff(offsets), pa.int64()),
+                     pa.array(sketches(features, offsets), pa.binary())], ["node", "n", "sketch"])
+
+    described = stage(contents.select("node", "text").mapInArrow(describe, "node long, n long, sketch binary"), "sketches")
+    rows = blocks(members, described.withColumn("weight", F.expr("n div 16")))
+
+    def compare(batches):
+        for center, (names, left, (sizes, sketched)) in tasks_of(batches, "n", "sketch"):
+            kept = np.flatnonzero(may_link(sketched, np.array(sizes, np.int64), left, num, den))
+            if len(kept):
+                yield pa.RecordBatch.from_pydict({"center": pa.array([center] * len(kept), pa.int64()),
+                                                  "member": pa.array([names[i] for i in kept], pa.int64())})
+
+    return rows.mapInArrow(compare, "center long, member long").distinct()
+
+
+def verify(members: DataFrame, contents: DataFrame, shingle_words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) among the members of each center, as a spanning forest for each task of ``blocks``."""
+    rows = blocks(members, contents)
+
+    def compare(batches):
+        for _, (names, left, (texts,)) in tasks_of(batches, "text"):
+            sets = []
+            for _, words in runs_of(pa.array(texts, pa.string())):
+                features, offsets = words.sets(shingle_words)
+                sets += [features[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            pairs = linked(sets, left, num, den)
+            if pairs:
+                yield pa.RecordBatch.from_pydict({"a": pa.array([names[i] for i, _ in pairs], pa.int64()),
+                                                  "b": pa.array([names[j] for _, j in pairs], pa.int64())})
 
     return rows.mapInArrow(compare, "a long, b long").distinct()
 
@@ -296,7 +370,8 @@ def jaccard_classes(docs: DataFrame, shingle_words: int = 5, num: int = 4, den:
     contents = rows.join(needed.hint("merge"), "doc_id", "left_semi").select(
         F.col("doc_id").alias("node"), "text").distinct()
     contents = stage(contents, "contents").withColumn("weight", F.expr("octet_length(text) div 6"))
-    links = verify(pairs, contents, shingle_words, num, den)
+    members = stage(likely(groups_of(pairs), contents, shingle_words, num, den), "likely")
+    links = verify(members, contents, shingle_words, num, den)
     # texts under one id: links between the classes that the id joins
     copies = named.join(heads, "mark").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).filter("a <> b").distinct()
     reached = components(links.unionByName(copies))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import stage
 from quarry.llm.components import components
-from quarry.llm.partenum import blocks, linked, together
+from quarry.llm.partenum import blocks, groups_of, linked, tasks_of, together
 from quarry.llm.words import Words, mix, runs_of
 
 SHINGLE, RUN, WINDOW, AFTER = 5, 50, 24, 25  # words of a shingle, of a run; shingles of a window; words after an anchor
@@ -203,14 +203,12 @@ def repeated_passages(docs: DataFrame, least_words: int = RUN, num: int = 4, den
     needed = pairs.select(F.col("center").alias("doc_id")).unionByName(pairs.select(F.col("member").alias("doc_id"))).distinct()
     contents = rows.join(needed.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").distinct()
     contents = stage(contents, "contents").withColumn("weight", F.expr("octet_length(text) div 6"))
-    tasks = blocks(pairs, contents)
+    tasks = blocks(groups_of(pairs), contents)
     place = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def compare(batches):
-        task, names, texts, left = None, [], [], 0
-
-        def close():
-            links, runs = _compare(names, left if task[1] != task[2] else len(names), texts, least_words, num, den)
+        for _, (names, left, (texts,)) in tasks_of(batches, "text"):
+            links, runs = _compare(names, left, texts, least_words, num, den)
             link = [({"doc_id": a[0], "start": a[1], "end": a[2]}, {"doc_id": b[0], "start": b[1], "end": b[2]})
                     for a, b in links]
             none = [None] * len(runs)
@@ -220,19 +218,6 @@ def repeated_passages(docs: DataFrame, least_words: int = RUN, num: int = 4, den
                      pa.array([None] * len(link) + [{"doc_id": r[0], "start": r[1], "end": r[2]} for r in runs], place),
                      pa.array([None] * len(link) + [r[3] for r in runs], pa.int64())], ["a", "b", "run", "keeper"])
 
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("center", "low", "high", "side", "member", "text")]
-            for center, low, high, side, member, value in zip(*columns, strict=True):
-                if (center, low, high) != task:
-                    if len(names) > 1:
-                        yield from close()
-                    task, names, texts, left = (center, low, high), [], [], 0
-                names.append(member)
-                texts.append(value)
-                left += side == 0
-        if len(names) > 1:
-            yield from close()
-
     kind = "struct<doc_id: long, start: long, end: long>"
     found = stage(tasks.mapInArrow(compare, f"a {kind}, b {kind}, run {kind}, keeper long"), "found")
     near = components(found.filter("a is not null").select("a", "b"))
