@@ -105,17 +105,30 @@ def first_nonempty(values: Column) -> Column:
                       F.lit(""))
 
 
-NUMBER = r"(-?\d+(?:\.\d+)?)"
+NUMBER = r"(-?\p{Nd}+(?:\.\p{Nd}+)?)"
+
+
+def ascii_digits(c: Column) -> Column:
+    """Full-width and Arabic-Indic digits as 0-9."""
+    return F.translate(c, "０１２３４５６７８９٠١٢٣٤٥٦٧٨٩", "01234567890123456789")
+
+
+def number_text(c: Column) -> Column:
+    """A double as plain decimal text between 1e-4 and 1e16, as in 20000000.0."""
+    plain = F.regexp_replace(c.cast("decimal(38,18)").cast("string"), r"(\.\d+?)0+$", "$1")
+    size = F.abs(c)
+    long = ((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3))
+    return F.when(long, plain).otherwise(c.cast("string"))
 
 
 def first_number(c: Column) -> Column:
     """First decimal number in the text, NULL when there is none."""
-    return F.regexp_extract(c, NUMBER, 1).try_cast("double")
+    return ascii_digits(F.regexp_extract(c, NUMBER, 1)).try_cast("double")
 
 
 def number_range(c: Column) -> Column:
     """STRUCT<low, high> of the first one or two numbers."""
-    nums = F.transform(F.regexp_extract_all(c, F.lit(NUMBER), 1), lambda x: x.cast("double"))
+    nums = F.transform(F.regexp_extract_all(c, F.lit(NUMBER), 1), lambda x: ascii_digits(x).cast("double"))
     a = F.get(nums, F.lit(0))
     b = F.coalesce(F.get(nums, F.lit(1)), a)
     return F.struct(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
@@ -193,7 +206,7 @@ def in_category(parent: Column, group: Column, category: str) -> Column:
 
 
 # Ordered rules (pattern of words, intent, sub-intent, confidence).
-MATH_PATTERN = r"[0-9]+\s*[-+*/%^]\s*[0-9]+"
+MATH_PATTERN = r"\p{Nd}+\s*[-+*/%^]\s*\p{Nd}+"
 INTENT_RULES = (
     (("计算", "等于", "加", "减", "乘", "除", "平方", "开方"), "任务", "计算", 0.9),
     (("搜索", "查一下", "帮我找", "search"), "任务", "搜索", 0.85),
@@ -246,7 +259,7 @@ def intent(c: Column, rules=INTENT_RULES, keyword_lists=INTENT_KEYWORDS) -> Colu
         F.least(F.lit(0.95), F.lit(0.45) + F.lit(0.12) * best["hits"]).alias("confidence"))
     weak = F.when(q.contains("?") | q.contains("？"), F.lit(0.35)).otherwise(F.lit(0.25))
     picked = ruled.otherwise(F.when(best["hits"] > 0, by_hits).otherwise(label("问答", "知识问答", weak)))
-    numbers = F.slice(F.regexp_extract_all(c, F.lit(r"([-+]?\d*\.\d+|\d+)"), 1), 1, 5)
+    numbers = F.slice(F.regexp_extract_all(c, F.lit(r"([-+]?\p{Nd}*\.\p{Nd}+|\p{Nd}+)"), 1), 1, 5)
     return F.struct(picked["intent"].alias("intent"), picked["sub_intent"].alias("sub_intent"),
                     picked["confidence"].alias("confidence"), numbers.alias("numbers"))
 
@@ -272,9 +285,9 @@ def cascade_intent(query: Column, rule: Column, model: Column, threshold: float
 def format_fact(subject: Column, predicate: Column, obj: Column, value_text: Column,
                 value_number: Column, value_min: Column, value_max: Column) -> Column:
     """``subject --predicate--> target`` with literal fallbacks."""
-    bound = lambda c: F.when(c.isNull() | (c == 0.0), "").otherwise(c.cast("string"))
+    bound = lambda c: F.when(c.isNull() | (c == 0.0), "").otherwise(number_text(c))
     span = F.when(value_min.isNotNull() | value_max.isNotNull(),
                   F.concat(bound(value_min), F.lit("~"), bound(value_max)))
-    target = F.coalesce(obj, value_text, value_number.cast("string"), span, F.lit(""))
+    target = F.coalesce(obj, value_text, number_text(value_number), span, F.lit(""))
     return F.when(subject.isNull(), "").otherwise(
         strip(F.concat(subject, F.lit(" --"), predicate, F.lit("--> "), target)))

@@ -118,7 +118,7 @@ def save_conversations(headers: DataFrame, messages: DataFrame, payloads: DataFr
     content>>, saved_at).
     """
     last = payloads.groupBy("conversation_id").agg(
-        F.max_by(F.struct("title", "messages"), "saved_at").alias("p"), F.max("saved_at").alias("updated_at"))
+        F.max_by(F.struct("title", "messages"), F.struct("saved_at", "title", "messages")).alias("p"), F.max("saved_at").alias("updated_at"))
     title = F.coalesce("p.title", F.lit("未命名对话"))
     new_headers = last.select("conversation_id", title.alias("title"), "updated_at")
     new_messages = last.select("conversation_id", F.posexplode("p.messages").alias("index", "m")).select(

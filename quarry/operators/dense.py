@@ -178,8 +178,8 @@ class CellIndex:
 
     @classmethod
     def build(cls, corpus: DataFrame, doc_id: str = "vec_id", doc_vec: str = "embedding", n_cells: int = 128,
-              seed: int = 7, train_rows: int = 200_000) -> "CellIndex":
-        """Train centroids on a bounded sample; every vector is then assigned."""
+              seed: int = 7, max_iter: int = 10) -> "CellIndex":
+        """Train centroids on all vectors and assign each to its cell."""
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
@@ -189,9 +189,8 @@ class CellIndex:
         c = (c.withColumn("_n", F.sqrt(F.expr("aggregate(vec, 0D, (s, x) -> s + cast(x as double) * x)")))
              .filter("_n > 0").withColumn("_f", array_to_vector(unit)))
         n = c.count()
-        train = c if n <= train_rows else c.sample(train_rows / n, seed)
-        model = KMeans(k=min(n_cells, n), seed=seed, maxIter=10, featuresCol="_f", predictionCol="cell").fit(
-            train.select("_f"))
+        model = KMeans(k=min(n_cells, n), seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="cell").fit(
+            c.select("_f"))
         centers = [(i, [float(x) for x in v]) for i, v in enumerate(model.clusterCenters())]
         centroids = spark.createDataFrame(centers, "cell int, vec array<double>")
         return cls(model.transform(c).select("id", "vec", "cell"), centroids)

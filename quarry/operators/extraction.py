@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from quarry.functions.parsing import clamped_float, json_items, json_object, json_strings
 from quarry.functions.rows import unnest
-from quarry.functions.text import (first_number, lines, name_key, normalize_name, number_range, split_items,
+from quarry.functions.text import (first_number, lines, name_key, normalize_name, number_range, number_text, split_items,
                                    strip)
 from quarry.operators.ranking import first_rows, ordered_texts
 from quarry.session import cut_lineage
@@ -175,7 +175,7 @@ def entity_id(type_: Column, key: Column) -> Column:
 def document_nodes(rows: DataFrame, facts: DataFrame) -> DataFrame:
     """(document_id, type, key, name, properties) of every document (K3)."""
     subjects = rows.filter("key IS NULL AND subject <> ''").select("document_id", "subject")
-    prop = F.when(F.col("kind") == "number", F.col("value_number").cast("string")).otherwise(F.col("value_text"))
+    prop = F.when(F.col("kind") == "number", number_text(F.col("value_number"))).otherwise(F.col("value_text"))
     props = (facts.filter(F.col("property").isNotNull()).select("document_id", "property", prop.alias("v"))
              .groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(
                  F.struct("property", "v")))).alias("properties")))

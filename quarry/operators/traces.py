@@ -47,11 +47,11 @@ def trace_records(events: DataFrame) -> DataFrame:
     """
     ended = F.col("name") == "span.end"
     head = events.groupBy("trace_id").agg(
-        F.max("session_id").alias("session_id"), F.min("ts").alias("started_at"),
+        F.min_by("session_id", F.struct("ts", "event_id")).alias("session_id"), F.min("ts").alias("started_at"),
         F.max(F.when(ended, F.col("ts"))).alias("ended_at"),
         F.max_by("error", F.when(ended, F.struct("ts", "event_id"))).alias("error"))
     head = (head.withColumn("status", F.when(F.col("ended_at").isNull(), "running")
-                            .when(F.col("error").isNotNull(), "failed").otherwise("success"))
+                            .when(F.coalesce(F.col("error") != "", F.lit(False)), "failed").otherwise("success"))
             .withColumn("duration_ms", ((F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1000).cast("long"))
             .withColumn("otel_trace_id", F.when(is_hex_trace_id(F.col("trace_id")), F.col("trace_id"))))
     last = top_k(events, ["trace_id"], [F.col("ts").desc(), F.col("event_id").desc()], MAX_EVENTS, "_r")

@@ -10,7 +10,6 @@ from quarry.functions.text import safe_name, strip
 from quarry.operators.chunking import chunk_arrays, chunk_table
 from quarry.operators.extraction import chunk_id
 
-MAX_CHARS = 500_000
 # Stored length of each text field of the vector table.
 FIELD_LENGTHS = {"content": 65000, "source": 500, "document_id": 120, "entity_name": 250,
                  "normalized_entity_name": 250, "group": 500, "parent_group": 250, "child_group": 250}
@@ -22,16 +21,24 @@ def decode_utf8(data: Column) -> Column:
 
 
 def parse_documents(df: DataFrame, data: str = "data", filename: str = "filename", mime: str = "mime",
-                    max_chars: int = MAX_CHARS, html_is_text: bool = False) -> DataFrame:
-    """Adds text and warning; anything but plain text is unsupported."""
+                    max_chars: int | None = None, html_is_text: bool = False) -> DataFrame:
+    """Adds text and warning; anything but plain text is unsupported.
+
+    Texts are whole unless ``max_chars`` is given; then ``truncated`` tells
+    which were cut.
+    """
     kind = F.coalesce(F.col(mime), F.lit("application/octet-stream"))
     is_text = F.lower(F.col(filename)).endswith(".txt") | (
         kind.startswith("text/") & (F.lit(html_is_text) | (kind != "text/html")))
-    return (df.withColumn("text", F.when(is_text, F.left(decode_utf8(F.col(data)), F.lit(max_chars))).otherwise(""))
-            .withColumn("warning", F.when(~is_text, "unsupported")))
+    out = (df.withColumn("text", F.when(is_text, decode_utf8(F.col(data))).otherwise(""))
+           .withColumn("warning", F.when(~is_text, "unsupported")))
+    if max_chars is None:
+        return out
+    return (out.withColumn("truncated", F.char_length("text") > max_chars)
+            .withColumn("text", F.left("text", F.lit(max_chars))))
 
 
-def read_files(spark: SparkSession, path: str, max_chars: int = MAX_CHARS, streaming: bool = False) -> DataFrame:
+def read_files(spark: SparkSession, path: str, max_chars: int | None = None, streaming: bool = False) -> DataFrame:
     """Files of a folder as (path, filename, modified, text, warning)."""
     reader = spark.readStream if streaming else spark.read
     if streaming:

@@ -63,7 +63,7 @@ def cache_inserts(entries: DataFrame, log: BatchLog, ttl_seconds: int, as_of: Co
         "expires_at", F.col("written_at") + F.make_interval(secs=F.lit(ttl_seconds)))
     log.run(keyed)
     last = log.read().groupBy("key").agg(F.max_by(
-        F.struct("query_text", "value", "written_at", "expires_at"), "written_at").alias("e")).select("key", "e.*")
+        F.struct("query_text", "value", "written_at", "expires_at"), F.struct("written_at", "query_text", "value")).alias("e")).select("key", "e.*")
     return last.filter(F.col("expires_at") > as_of) if as_of is not None else last
 
 
