@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.parsing import citation_numbers
@@ -10,25 +10,32 @@ from quarry.functions.rows import unnest
 from quarry.operators.ranking import ordered_texts
 
 
-def context_block(hits: DataFrame, style: str = "chat") -> DataFrame:
-    """Numbered hit texts per query.
+def block_text(style: str = "chat", max_chars: int | None = None, max_hits: int | None = None) -> Column:
+    """Aggregate of a group of hits (rank, id, score, content) as one printed block.
 
-    ``hits`` has (query_id, rank, id, score, content) and is a top-k result.
     Styles: ``chat`` (500 characters), ``tool`` (score and 300 characters),
     ``eval`` (first five, 300 characters), ``prompt`` (id and full text).
     """
+    most = {"chat": 500, "tool": 300, "eval": 300}.get(style) if max_chars is None else max_chars
+    hits = 5 if style == "eval" and max_hits is None else max_hits
     n = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]"))
+    content = F.col("content") if most is None else F.left("content", F.lit(most))
     if style == "chat":
-        line, sep = F.concat(n, F.lit(" "), F.left("content", F.lit(500))), "\n\n"
+        line, sep = F.concat(n, F.lit(" "), content), "\n\n"
     elif style == "tool":
-        line, sep = F.concat(n, F.format_string(" (相关度=%.2f)\n", F.col("score")),
-                             F.left("content", F.lit(300))), "\n\n"
+        line, sep = F.concat(n, F.format_string(" (相关度=%.2f)\n", F.col("score")), content), "\n\n"
     elif style == "eval":
-        hits = hits.filter("rank <= 5")
-        line, sep = F.left("content", F.lit(300)), "\n"
+        line, sep = content, "\n"
     else:
-        line, sep = F.concat(n, F.lit(" (id="), F.col("id").cast("string"), F.lit(")\n"), "content"), "\n\n"
-    return hits.groupBy("query_id").agg(F.array_join(ordered_texts(F.col("rank"), line), sep).alias("block"))
+        line, sep = F.concat(n, F.lit(" (id="), F.col("id").cast("string"), F.lit(")\n"), content), "\n\n"
+    # Joining leaves nulls out.
+    line = line if hits is None else F.when(F.col("rank") <= hits, line)
+    return F.array_join(ordered_texts(F.col("rank"), line), sep)
+
+
+def context_blocks(hits: DataFrame, *styles: str) -> DataFrame:
+    """One block column per style for each query, in one pass over its top-k hits."""
+    return hits.groupBy("query_id").agg(*[block_text(s).alias(s) for s in styles])
 
 
 def history_block(turns: DataFrame) -> DataFrame:

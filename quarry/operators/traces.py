@@ -39,21 +39,26 @@ def step_rows(events: DataFrame) -> DataFrame:
             .select("trace_id", "index", "ts", F.col("phase"), "status", "observation", "duration_ms", "error"))
 
 
-def trace_records(events: DataFrame) -> DataFrame:
-    """One record per trace: status, times, last events and steps.
-
-    ``events`` has (trace_id, session_id, event_id, ts, name, phase, payload,
-    duration_ms, error); ``span.start`` opens and ``span.end`` closes a trace.
-    """
+def trace_heads(events: DataFrame) -> DataFrame:
+    """Session, status and times per trace, without its lists."""
     ended = F.col("name") == "span.end"
     head = events.groupBy("trace_id").agg(
         F.min_by("session_id", F.struct("ts", "event_id")).alias("session_id"), F.min("ts").alias("started_at"),
         F.max(F.when(ended, F.col("ts"))).alias("ended_at"),
         F.max_by("error", F.when(ended, F.struct("ts", "event_id"))).alias("error"))
-    head = (head.withColumn("status", F.when(F.col("ended_at").isNull(), "running")
+    return (head.withColumn("status", F.when(F.col("ended_at").isNull(), "running")
                             .when(F.coalesce(F.col("error") != "", F.lit(False)), "failed").otherwise("success"))
             .withColumn("duration_ms", ((F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1000).cast("long"))
             .withColumn("otel_trace_id", F.when(is_hex_trace_id(F.col("trace_id")), F.col("trace_id"))))
+
+
+def trace_records(events: DataFrame) -> DataFrame:
+    """One record per trace: status, times, last events and steps.
+
+    ``events`` has (trace_id, session_id, event_id, ts, name, phase, payload,
+    duration_ms, error); ``span.start`` opens and ``span.end`` closes a trace.
+    """
+    head = trace_heads(events)
     last = top_k(events, ["trace_id"], [F.col("ts").desc(), F.col("event_id").desc()], MAX_EVENTS, "_r")
     packed = last.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct(
         "ts", "event_id", "name", trim_string(F.col("payload")).alias("payload")))).alias("events"))
@@ -76,9 +81,9 @@ def replay(records: DataFrame) -> DataFrame:
     return events.unionByName(steps)
 
 
-def session_traces(records: DataFrame, limit: int = 50) -> DataFrame:
-    """Newest traces per session."""
-    named = records.filter(F.col("session_id").isNotNull())
+def session_traces(heads: DataFrame, limit: int = 50) -> DataFrame:
+    """Newest traces per session (W5, J17, T3); ``heads`` has (session_id, trace_id, started_at)."""
+    named = heads.filter(F.col("session_id").isNotNull())
     return top_k(named, ["session_id"], [F.col("started_at").desc(), F.col("trace_id")], limit)
 
 

@@ -89,9 +89,14 @@ def strict_total(*stats: Column) -> Column:
     return F.coalesce(total, F.lit(0))
 
 
-def template_fields(df: DataFrame, id_col: str, text_col: str, template: str = "宠物信息") -> DataFrame:
-    """(id, key, value) of ``|key=value`` pairs in the first such template block."""
-    block = F.regexp_extract(text_col, r"(\{\{" + template + r"(?:/精灵)?[\s\S]*?\n\}\})", 1)
+# How template blocks begin, the preferred one first.
+TEMPLATES = (r"宠物信息/精灵", r"宠物信息\s*\|", r"(?:宠物信息|精灵信息)[/\n|]")
+
+
+def template_fields(df: DataFrame, id_col: str, text_col: str, templates: tuple[str, ...] = TEMPLATES) -> DataFrame:
+    """(id, key, value) of ``|key=value`` pairs in the first block of the first template that occurs."""
+    found = [F.regexp_extract(text_col, r"(\{\{" + t + r"[\s\S]*?\n\}\})", 1) for t in templates]
+    block = F.coalesce(*[F.nullif(f, F.lit("")) for f in found])
     pair = r"\|\s*([^=|\n]+?)\s*=\s*([\s\S]*?)(?=\n\||\n\}\})"
     keys, values = (F.regexp_extract_all(block, F.lit(pair), i) for i in (1, 2))
     rows = unnest(df, F.arrays_zip(keys.alias("k"), values.alias("v")), "kv", "pos", [id_col])

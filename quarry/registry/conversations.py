@@ -180,7 +180,7 @@ def trace_replay(spark, sf):
 @query("W5 J17 T3", f"""WITH {TRACE_SQL} SELECT session_id, trace_id, rank FROM (SELECT session_id, trace_id, row_number() OVER (PARTITION BY session_id ORDER BY started_at DESC, trace_id) AS rank FROM rec) WHERE rank <= 10""")
 def session_traces(spark, sf):
     """Ten newest traces of each session."""
-    return traces.session_traces(traces.trace_records(trace_events(spark, sf)), 10).select("session_id", "trace_id", "rank")
+    return traces.session_traces(traces.trace_heads(trace_events(spark, sf)), 10).select("session_id", "trace_id", "rank")
 
 
 @query("A16 W6", f"""WITH {TRACE_SQL}, n AS (SELECT * FROM rec ORDER BY started_at DESC, trace_id DESC LIMIT 50),

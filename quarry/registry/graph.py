@@ -12,6 +12,7 @@ from quarry.operators import extraction as kg
 from quarry.operators import graph
 from quarry.operators.chunking import chunk_table
 from quarry.registry.catalog import query, table
+from quarry.session import cut_lineage
 
 # --- part records as `key: value` documents -------------------------------------------
 
@@ -75,8 +76,15 @@ def _rows(spark, sf):
     return kg.field_rows(part_documents(spark, sf), "document_id", "text", "filename")
 
 
+_STORED: dict = {}
+
+
 def _graph(spark, sf):
-    return kg.store_graph(*kg.build_graph(part_documents(spark, sf), kg.mapping_table(spark)))
+    """Entities and relations of the part documents, written once for each session and state of the table."""
+    key = spark.sparkContext.applicationId, tuple(sorted(table(spark, sf, "part").inputFiles()))
+    if key not in _STORED or _STORED[key][0].sparkSession is not spark:
+        _STORED[key] = kg.store_graph(*kg.build_graph(part_documents(spark, sf), kg.mapping_table(spark)))
+    return _STORED[key]
 
 
 @query("K1 K2 W9 F1 F9", f"""WITH {PART_SQL}, f AS (
@@ -201,7 +209,8 @@ def kg_relevance(spark, sf):
     """Relations of each question with rank, printed fact and relevance."""
     entities, relations = _graph(spark, sf)
     questions = part_questions(spark, sf)
-    ranked = graph.query_relations(questions, graph.mentions(questions, entities), relations)
+    matched = cut_lineage(graph.mentions(questions, entities), "matched")
+    ranked = cut_lineage(graph.query_relations(questions, matched, relations), "ranked")
     return graph.scored_relations(questions, ranked, relations, entities).select(
         "query_id", "rel_id", "rel_rank", "fact", F.round("relevance", 6).alias("relevance"))
 

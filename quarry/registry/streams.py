@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import extraction as kg
-from quarry.registry.catalog import CATALOG, query
+from quarry.registry.catalog import CATALOG, query, table
 from quarry.registry import conversations as conv, graph as g
 from quarry.sources import files
 from quarry.streaming import jobs, state
-from quarry.streaming.log import BatchLog, table_stream
+from quarry.streaming.log import BatchLog, arrivals
 
 
 def sql_of(name: str) -> str:
     return CATALOG.get(name).sql
 
 
+SLICES = 3
+
+
+def table_stream(spark, sf, name, slice_no=None):
+    """A whole table that arrives in three slices, in mixed order unless a slice number says otherwise."""
+    df = table(spark, sf, name)
+    mixed = F.pmod(F.xxhash64(F.col(df.columns[0])), F.lit(SLICES))
+    return arrivals(df, mixed if slice_no is None else slice_no, SLICES)
+
+
 class StreamTables:
     """Reads the registered queries' inputs as streams instead of tables."""
 
@@ -23,7 +33,9 @@ class StreamTables:
         self.spark, self.sf = spark, sf
 
     def messages(self):
-        return table_stream(self.spark, self.sf, "conversations").select(
+        # Messages of a conversation arrive in their order.
+        by_turn = F.coalesce(F.greatest(F.lit(0), F.least(F.col("turn") / 2, F.lit(SLICES - 1))).cast("int"), F.lit(0))
+        return table_stream(self.spark, self.sf, "conversations", by_turn).select(
             F.col("conv_id").alias("conversation_id"), F.col("turn").alias("index"), "role", F.col("text").alias("content"))
 
     def events(self):

@@ -12,6 +12,7 @@ from quarry.plans import retrieval as plan
 from quarry.plans.scoring import score_in_batches
 from quarry.registry.catalog import query, table
 from quarry.registry.search import HASH_COSINE_SQL, bm25_sql, text_vectors, top_sql
+from quarry.session import cut_lineage
 
 
 @query("P11", r"""WITH k AS (SELECT conv_id, turn, list_filter(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]+|[a-zA-Z0-9]+'), lambda t: length(t) > 1
@@ -129,11 +130,7 @@ string_agg(substr(content, 1, 300), chr(10) ORDER BY rank) AS eval, md5(string_a
 string_agg('[' || rank || '] (相关度=' || printf('%.2f', score) || ')' || chr(10) || substr(content, 1, 300), chr(10) || chr(10) ORDER BY rank) AS tool FROM hits GROUP BY 1""")
 def context_blocks(spark, sf):
     """Context blocks of the five BM25 hits in all four styles."""
-    hits = _hits(spark, sf)
-    block = lambda style: context.context_block(hits, style).withColumnRenamed("block", style)
-    out = block("chat")
-    for style in ("eval", "tool", "prompt"):
-        out = out.join(block(style), "query_id")
+    out = context.context_blocks(_hits(spark, sf), "chat", "eval", "tool", "prompt")
     return out.withColumn("prompt", F.md5("prompt"))
 
 
@@ -174,8 +171,11 @@ SELECT 'hybrid' AS mode, query_id, id, rank, round(score, 6) AS score FROM h UNI
 UNION ALL SELECT 'keyword', query_id, id, rank, round(score, 6) FROM k""")
 def mode_switch(spark, sf):
     """The three retrieval modes side by side."""
-    q, v, k = bench_queries(spark, sf), vector_search(spark, sf), keyword_search(spark, sf)
-    run = lambda mode: plan.retrieve(q, v, k, mode, 5).select(
+    q = bench_queries(spark, sf)
+    # Each list is made once and read by the modes that need it.
+    v = cut_lineage(vector_search(spark, sf)(q, 5), "vector-hits")
+    k = cut_lineage(keyword_search(spark, sf)(q, 5), "keyword-hits")
+    run = lambda mode: plan.retrieve(q, lambda *_: v, lambda *_: k, mode, 5).select(
         F.lit(mode).alias("mode"), "query_id", "id", "rank", F.round("score", 6).alias("score"))
     return run("hybrid").unionByName(run("vector")).unionByName(run("keyword"))
 

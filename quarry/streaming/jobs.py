@@ -58,7 +58,7 @@ def cache_inserts(entries: DataFrame, log: BatchLog, ttl_seconds: int, as_of: Co
 
     ``entries``: streaming (query_text, value, written_at).
     """
-    key = F.xxhash64(normalize_text(F.col("query_text")))
+    key = F.sha2(normalize_text(F.col("query_text")), 256)
     keyed = entries.withColumn("key", key).withColumn(
         "expires_at", F.col("written_at") + F.make_interval(secs=F.lit(ttl_seconds)))
     log.run(keyed)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.session import shared_dir
@@ -46,8 +46,10 @@ class BatchLog:
         return rows.join(last, [*keys, "batch"], "left_semi").drop("batch")
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 100) -> DataFrame:
-    """A parquet table read as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+def arrivals(df: DataFrame, slice_no: Column, slices: int) -> DataFrame:
+    """A table as a stream of about ``slices`` micro-batches: rows arrive in the order of their slice number."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, "arrivals")
+    for i in range(slices):
+        df.filter(slice_no == i).write.mode("append").parquet(path)
+    files = len(spark.read.schema(df.schema).parquet(path).inputFiles())
+    return (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, files // slices)).parquet(path))

@@ -1,11 +1,12 @@
 """Keyed state: conversation memory, trace records, session lists.
 
 State per key is bounded (a window of messages, the last events and steps, the
-newest traces) and expires by processing time.
+newest traces; starts of traces until they expire) and expires by processing time.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -66,38 +67,49 @@ def memory_stream(messages: DataFrame, window: int = 20, max_tokens: int = 4000,
 
 
 class TraceRecord(StatefulProcessor):
-    """Running record per trace with its last events and steps."""
+    """Running record per trace with its last events and steps.
+
+    Every field goes by (time, event), so the order of arrival does not matter.
+    """
 
     def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.head = handle.getValueState(
-            "head", "session_id string, started_us long, ended_us long, error string, steps_seen long", self.ttl_ms)
-        self.events = handle.getListState("events", "name string", self.ttl_ms)
-        self.steps = handle.getListState("steps", "phase string", self.ttl_ms)
+            "head", "session_id string, started_us long, started_id long, ended_us long, ended_id long, error string, "
+                    "steps_seen long", self.ttl_ms)
+        self.events = handle.getListState("events", "us long, event_id long, name string", self.ttl_ms)
+        self.steps = handle.getListState("steps", "us long, event_id long, phase string", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        head = self.head.get() if self.head.exists() else None
-        session, started, ended, error, seen = head if head else (None, None, None, None, 0)
-        events = [e[0] for e in self.events.get()] if self.events.exists() else []
-        steps = [s[0] for s in self.steps.get()] if self.steps.exists() else []
-        for row in pd.concat(list(rows)).sort_values(["us", "event_id"]).itertuples():
-            session = session or row.session_id
-            started = row.us if started is None else min(started, row.us)
-            events = [*events, row.name][-MAX_EVENTS:]
-            if row.name in STEP_NAMES:
-                seen, steps = seen + 1, [*steps, row.phase][-MAX_STEPS:]
-            if row.name == "span.end":
-                ended, error = row.us, row.error if isinstance(row.error, str) else None
-        self.head.update((session, started, ended, error, seen))
-        self.events.put([(e,) for e in events])
+        session, start, end, error, seen = None, None, None, None, 0
+        if self.head.exists():
+            session, started_us, started_id, ended_us, ended_id, error, seen = self.head.get()
+            start, end = (started_us, started_id), None if ended_us is None else (ended_us, ended_id)
+        events = [tuple(e) for e in self.events.get()] if self.events.exists() else []
+        steps = [tuple(s) for s in self.steps.get()] if self.steps.exists() else []
+        for pdf in rows:
+            for row in pdf.itertuples():
+                at = (int(row.us), int(row.event_id))
+                events.append((*at, row.name))
+                if start is None or at < start:
+                    start, session = at, row.session_id
+                if row.name == "span.end" and (end is None or at > end):
+                    end, error = at, row.error if isinstance(row.error, str) else None
+                if row.name in STEP_NAMES:
+                    seen += 1
+                    steps.append((*at, row.phase))
+            events = sorted(events, key=lambda e: e[:2])[-MAX_EVENTS:]
+            steps = sorted(steps, key=lambda s: s[:2])[-MAX_STEPS:]
+        self.head.update((session, *start, *(end or (None, None)), error, seen))
+        self.events.put(events)
         if steps:  # an empty list is no legal state
-            self.steps.put([(s,) for s in steps])
-        status = "running" if ended is None else "failed" if error else "success"
-        duration = None if ended is None else (ended - started) // 1000
+            self.steps.put(steps)
+        status = "running" if end is None else "failed" if error else "success"
+        duration = None if end is None else (end[0] - start[0]) // 1000
         yield pd.DataFrame({
-            "trace_id": [key[0]], "session_id": [session], "status": [status], "started_us": [started],
+            "trace_id": [key[0]], "session_id": [session], "status": [status], "started_us": [start[0]],
             "duration_ms": pd.Series([duration], dtype="Int64"), "n_events": [len(events)], "n_steps": [len(steps)],
             "steps_seen": [seen]})
 
@@ -114,21 +126,42 @@ def trace_stream(events: DataFrame, ttl_ms: int | None = DAY_MS) -> DataFrame:
 
 
 class SessionTraces(StatefulProcessor):
-    """Newest traces per session."""
+    """Newest traces per session.
+
+    The start of every trace of the last ``ttl_ms`` stays in the state store,
+    so a later event of a trace that fell off the list does not bring it back.
+    The list is taken anew from there only when an event moves the start of a
+    listed trace back in time.
+    """
 
     def __init__(self, limit: int, ttl_ms: int | None):
         self.limit, self.ttl_ms = limit, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.traces = handle.getListState("traces", "trace_id string, started_us long", self.ttl_ms)
+        self.starts = handle.getMapState("starts", "trace_id string", "started_us long", self.ttl_ms)
+
+    def _newest(self, traces) -> list[tuple[str, int]]:
+        return heapq.nsmallest(self.limit, traces, key=lambda t: (-t[1], t[0]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = {t: s for t, s in self.traces.get()} if self.traces.exists() else {}
+        listed = {t: us for t, us in self.traces.get()} if self.traces.exists() else {}
+        moved = False
         for pdf in rows:
             for trace, us in pdf.groupby("trace_id")["us"].min().items():
-                first[trace] = min(us, first.get(trace, us))
-        newest = sorted(first.items(), key=lambda x: (-x[1], x[0]))[:self.limit]
-        self.traces.put([(t, int(us)) for t, us in newest])
+                us, name = int(us), (trace,)
+                known = self.starts.getValue(name)[0] if self.starts.containsKey(name) else None
+                if known is not None and known <= us:
+                    continue
+                self.starts.updateValue(name, (us,))
+                moved = moved or trace in listed
+                if known is None:
+                    listed[trace] = us
+            listed = dict(self._newest(listed.items()))
+        if moved:
+            listed = dict(self._newest((t[0], us[0]) for t, us in self.starts.iterator()))
+        newest = self._newest(listed.items())
+        self.traces.put(newest)
         yield pd.DataFrame({"session_id": key[0], "trace_id": [t for t, _ in newest],
                             "rank": range(1, len(newest) + 1)})
 
@@ -138,5 +171,6 @@ class SessionTraces(StatefulProcessor):
 
 def session_stream(events: DataFrame, limit: int = 50, ttl_ms: int | None = DAY_MS) -> DataFrame:
     """``events``: streaming (session_id, trace_id, us)."""
-    return _keyed(events.select("session_id", "trace_id", "us"), "session_id").transformWithStateInPandas(
+    rows = events.filter("session_id is not null").select("session_id", "trace_id", "us")
+    return _keyed(rows, "session_id").transformWithStateInPandas(
         SessionTraces(limit, ttl_ms), "session_id string, trace_id string, rank int", "Update", _time_mode(ttl_ms))
