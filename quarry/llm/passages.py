@@ -1,23 +1,27 @@
 """Removal of passages that repeat across documents.
 
-Candidates come from two kinds of signatures of a document: bands of the
-MinHash of each long paragraph (line), and hashes of the 25 words after
-anchors, positions whose shingle is the smallest of a window, which both
-documents of a shared passage of more than 50 words choose alike wherever it
-stands.  Documents with a signature in common are brought together, and
-verified there: paragraphs by the exact Jaccard similarity of their shingles,
-passages inside paragraphs word by word in runs of 50 words.  Of similar
-paragraphs one of each component stays, of equal runs those of the smallest id.
+Paragraphs (lines): equal sets of shingles are joined at once under the first
+of them; bands of the MinHash of one paragraph of each set bring documents
+together, whose paragraphs are verified by the exact Jaccard similarity.
+
+Passages inside paragraphs: anchors, positions whose shingle is the smallest of
+a window, are chosen alike by all documents of a passage wherever it stands.
+Runs of 50 words around anchors whose next 25 words another document has are
+sorted by their hashes, and each goes unless its document has the smallest id.
+This is work in proportion to the shared words, however many documents share
+a passage.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stage
+from quarry.llm.common import stage, width
 from quarry.llm.components import components
 from quarry.llm.partenum import blocks, groups_of, linked, tasks_of, together
 from quarry.llm.words import Words, mix, runs_of
@@ -80,29 +84,40 @@ def _least(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(words: Words, raw: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct signatures of the texts, one after another, and the offsets of the texts."""
+def anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the anchors of the texts that have ``AFTER`` words from there, and the hashes of these words."""
     shingles, begins = _whole(words)
     at = _anchors(shingles, words.text, begins)
     last = at + AFTER - SHINGLE
     fine = last < len(shingles)
     fine[fine] = (words.text[at[fine]] == words.text[last[fine]]) & begins[last[fine]]
     at = at[fine]
-    found, owner = [_stretch(shingles, at, AFTER)], [words.text[at]]
-    first = _lines(words, raw)
+    return at, _stretch(shingles, at, AFTER)
+
+
+def _starts(words: Words) -> np.ndarray:
+    """First word of each text, and the number of words."""
+    return np.searchsorted(words.text, np.arange(words.rows + 1))
+
+
+def _paragraphs(words: Words, least_words: int):
+    """(text, start, end, set) of each paragraph of enough words; start and end are code points of its text."""
+    shingles, _ = _whole(words)
+    points = _code_points(words.data)
+    base = points[words.offsets[:-1]]
+    first = _lines(words, words.data)
     ends = np.append(first[1:], len(words.start))
-    long = ends - first >= least_words
-    for a, b in zip(first[long], ends[long], strict=True):
-        inside = shingles[a:b - SHINGLE + 1]
-        low = _least(inside).reshape(BANDS, ROWS)
-        key = mix((low * _ODD[1:ROWS + 1]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _ODD[9])
-        found.append(key)
-        owner.append(np.full(BANDS, words.text[a]))
-    found, owner = np.concatenate(found), np.concatenate(owner).astype(np.int64)
-    order = np.lexsort((found, owner))
-    found, owner = found[order], owner[order]
-    new = np.concatenate([[True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])]) if len(found) else np.zeros(0, bool)
-    return found[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=words.rows))])
+    for a, b in zip(first, ends, strict=True):
+        if b - a >= least_words:
+            text = int(words.text[a])
+            yield (text, int(points[words.start[a]] - base[text]), int(points[words.end[b - 1]] - base[text]),
+                   np.unique(shingles[a:b - SHINGLE + 1]))
+
+
+def bands(features: np.ndarray) -> np.ndarray:
+    """Hashes of the bands of a set's MinHash."""
+    low = _least(features).reshape(BANDS, ROWS)
+    return mix((low * _ODD[1:ROWS + 1]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _ODD[9])
 
 
 def _code_points(raw: np.ndarray) -> np.ndarray:
@@ -111,64 +126,176 @@ def _code_points(raw: np.ndarray) -> np.ndarray:
 
 
 def _compare(names: list[int], left: int, texts: list[str], least_words: int, num: int, den: int):
-    """(links between paragraphs, repeated runs) of a task; with ``left`` < texts, only links across the sides.
+    """Links between similar paragraphs (doc_id, start, end) of a task; with ``left`` < texts, only across the sides."""
+    paragraphs, sets, sides = [], [], []
+    for low, words in runs_of(pa.array(texts, pa.string())):
+        for text, start, end, features in _paragraphs(words, least_words):
+            paragraphs.append((names[text + low], start, end))
+            sets.append(features)
+            sides.append(text + low >= left)
+    order = sorted(range(len(sets)), key=lambda i: sides[i])
+    n_left = len(sets) if left >= len(texts) else len(sets) - sum(sides)
+    if len(sets) < 2 or not n_left or (left < len(texts) and n_left == len(sets)):
+        return []
+    pairs = linked([sets[i] for i in order], n_left, num, den)
+    return [(paragraphs[order[i]], paragraphs[order[j]]) for i, j in pairs if paragraphs[order[i]][0] != paragraphs[order[j]][0]]
+
+
+def similar_paragraphs(rows: DataFrame, least_words: int, num: int, den: int) -> DataFrame:
+    """``doc_id, start, end, keeper_id`` of paragraphs that are linked to one of a smaller id."""
 
-    A paragraph is (doc_id, start, end); a run is (doc_id, start, end, keeper).
+    def sign(batches):
+        for batch in batches:
+            for low, words in runs_of(batch.column("text")):
+                names = batch.column("doc_id").slice(low, words.rows).to_pylist()
+                found = [(names[t], a, b, hashlib.blake2b(f.tobytes(), digest_size=16).digest(), bands(f).view(np.int64))
+                         for t, a, b, f in _paragraphs(words, least_words)]
+                if found:
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)],
+                        ["doc_id", "start", "end", "mark", "bands"])
+
+    found = stage(rows.mapInArrow(sign, "doc_id long, start long, end long, mark binary, bands array<long>"), "paragraphs")
+    place = F.struct("doc_id", "start", "end")
+    heads = stage(found.groupBy("mark").agg(F.min(place).alias("head"), F.first("bands").alias("bands")), "heads")
+    equal = found.select("mark", place.alias("a")).join(heads.select("mark", F.col("head").alias("b")).hint("merge"), "mark")
+    equal = equal.filter("a <> b").select("a", "b")
+
+    signed = heads.select(F.explode("bands").alias("signature"), F.col("head.doc_id").alias("node"))
+    pairs = stage(together(signed), "pairs")
+    needed = pairs.select(F.col("center").alias("doc_id")).unionByName(pairs.select(F.col("member").alias("doc_id"))).distinct()
+    contents = rows.join(needed.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").distinct()
+    contents = stage(contents, "contents").withColumn("weight", F.expr("octet_length(text) div 6"))
+    kind = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+    named = lambda place: dict(zip(("doc_id", "start", "end"), place, strict=True))
+
+    def compare(batches):
+        for _, (names, left, (texts,)) in tasks_of(batches, "text"):
+            links = _compare(names, left, texts, least_words, num, den)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([named(x) for x, _ in links], kind),
+                                                  pa.array([named(y) for _, y in links], kind)], ["a", "b"])
+
+    shape = "struct<doc_id: long, start: long, end: long>"
+    near = blocks(groups_of(pairs), contents).mapInArrow(compare, f"a {shape}, b {shape}")
+    return components(near.unionByName(equal)).filter("node <> component").select(
+        "node.doc_id", "node.start", "node.end", F.col("component.doc_id").alias("keeper_id")).filter("doc_id <> keeper_id")
+
+
+def _shared_anchors(rows: DataFrame) -> DataFrame:
+    """``doc_id, anchors``: places (in words) of the anchors whose next words another document seems to have.
+
+    Rows are sorted into ranges of (signature, doc_id); signatures at the
+    borders of an Arrow batch count as shared, which the hashes of whole runs
+    settle afterwards.
     """
-    spans, hashes, owners, firsts, paragraphs, sets, sides = [], [], [], [], [], [], []
-    column = pa.array(texts, pa.string())
-    all_words = []
-    for low, words in runs_of(column):
-        shingles, begins = _whole(words)
-        raw = words.data
-        points = _code_points(raw)
-        base = points[words.offsets[:-1]]
-        begin, end = points[words.start] - base[words.text], points[words.end] - base[words.text]
-        at = np.arange(max(0, len(shingles) - RUN + SHINGLE))
-        if len(at):
-            last = at + RUN - SHINGLE
-            at = at[(words.text[at] == words.text[last]) & begins[last]]
-        hashes.append(_stretch(shingles, at, RUN))
-        owners.append(words.text[at] + low)
-        firsts.append(at)
-        all_words.append((len(all_words), begin, end, words.text + low))
-        spans.append(np.full(len(at), len(all_words) - 1))
-        first = _lines(words, raw)
-        ends = np.append(first[1:], len(words.start))
-        for a, b in zip(first, ends, strict=True):
-            if b - a >= least_words:
-                text = int(words.text[a]) + low
-                paragraphs.append((names[text], int(begin[a]), int(end[b - 1])))
-                sets.append(np.unique(shingles[a:b - SHINGLE + 1]))
-                sides.append(text >= left)
-    links = []
-    if len(sets) > 1:
-        order = sorted(range(len(sets)), key=lambda i: sides[i])
-        n_left = sum(1 for s in sides if not s)
-        if left >= len(texts) or 0 < n_left < len(sets):
-            pairs = linked([sets[i] for i in order], n_left if left < len(texts) else len(sets), num, den)
-            links = [(paragraphs[order[i]], paragraphs[order[j]]) for i, j in pairs]
-    links = [(a, b) for a, b in links if a[0] != b[0]]
-    runs = []
-    value, owner = np.concatenate(hashes), np.concatenate(owners).astype(np.int64)
-    run, first = np.concatenate(spans).astype(np.int64), np.concatenate(firsts)
-    if len(value):
-        name = np.array(names, np.int64)[owner]
-        order = np.lexsort((name, value))
-        starts = np.concatenate([[True], value[order][1:] != value[order][:-1]])
-        keeper = np.empty(len(value), np.int64)
-        keeper[order] = name[order][np.maximum.accumulate(np.where(starts, np.arange(len(value)), 0))]
-        gone = np.flatnonzero(keeper < name)
-        if len(gone):
-            # neighbouring runs of a text with one keeper are one span
-            joins = (owner[gone][1:] == owner[gone][:-1]) & (run[gone][1:] == run[gone][:-1]) \
-                & (first[gone][1:] - first[gone][:-1] <= RUN) & (keeper[gone][1:] == keeper[gone][:-1])
-            opens = np.flatnonzero(np.concatenate([[True], ~joins]))
-            closes = np.append(opens[1:], len(gone)) - 1
-            for a, b in zip(gone[opens], gone[closes], strict=True):
-                _, begin, end, _ = all_words[run[a]]
-                runs.append((int(name[a]), int(begin[first[a]]), int(end[first[b] + RUN - 1]), int(keeper[a])))
-    return links, runs
+
+    def sign(batches):
+        for batch in batches:
+            for low, words in runs_of(batch.column("text")):
+                at, hashes = anchors(words)
+                text = words.text[at].astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes.view(np.int64)), batch.column("doc_id").slice(low, words.rows).take(pa.array(text)),
+                     pa.array((at - _starts(words)[text]).astype(np.int32))], ["signature", "doc_id", "at"])
+
+    signed = rows.mapInArrow(sign, "signature long, doc_id long, at int")
+    signed = signed.repartitionByRange(width(rows.sparkSession), "signature", "doc_id").sortWithinPartitions("signature", "doc_id")
+
+    def shared(batches):
+        for batch in batches:
+            sign, node = batch.column("signature").to_numpy(), batch.column("doc_id").to_numpy()
+            if not len(sign):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1]]))
+            size = np.diff(np.append(first, len(sign)))
+            several = np.repeat(node[first] != node[first + size - 1], size)
+            keep = pa.array(several | (sign == sign[0]) | (sign == sign[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(keep), batch.column("at").filter(keep)], ["doc_id", "at"])
+
+    return signed.mapInArrow(shared, "doc_id long, at int").groupBy("doc_id").agg(F.collect_list("at").alias("anchors"))
+
+
+def repeated_runs(rows: DataFrame) -> DataFrame:
+    """``doc_id, start, end, keeper_id`` of the runs of 50 words that a document of smaller id has."""
+    around = rows.join(stage(_shared_anchors(rows), "anchors").hint("merge"), "doc_id")
+
+    def hashes(batches):
+        for batch in batches:
+            for low, words in runs_of(batch.column("text")):
+                shingles, begins = _whole(words)
+                starts, points = _starts(words), _code_points(words.data)
+                lists = batch.column("anchors").slice(low, words.rows).to_pylist()
+                places = [np.array(x, np.int64) + starts[i] for i, x in enumerate(lists)]
+                wanted = np.zeros(len(words.start), bool)
+                for i, at in enumerate(places):
+                    for back in range(WINDOW):
+                        p = at - back
+                        wanted[p[(p >= starts[i]) & (p < starts[i + 1])]] = True
+                at = np.flatnonzero(wanted)
+                at = at[at + RUN <= len(words.start)]
+                at = at[(words.text[at] == words.text[at + RUN - 1]) & begins[at + RUN - SHINGLE]]
+                text = words.text[at].astype(np.int64)
+                base = points[words.offsets[:-1]][text]
+                # two hashes of the run, 96 bits together
+                check = mix(sum(mix(shingles[at + j] ^ _ODD[j + 1]) * _ODD[j] for j in range(0, RUN, SHINGLE)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_stretch(shingles, at, RUN).view(np.int64)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                     batch.column("doc_id").slice(low, words.rows).take(pa.array(text)),
+                     pa.array(points[words.start[at]] - base, pa.int64()), pa.array(points[words.end[at + RUN - 1]] - base, pa.int64())],
+                    ["run", "check", "doc_id", "start", "end"])
+
+    order = ("run", "check", "doc_id")
+    runs = around.mapInArrow(hashes, "run long, check int, doc_id long, start long, end long")
+    runs = runs.repartitionByRange(width(rows.sparkSession), *order).sortWithinPartitions(*order)
+
+    def keep(batches):
+        opened, name, keeper = None, None, None  # first run of the range; last run and its smallest id
+        for batch in batches:
+            run, check, node = (batch.column(c).to_numpy() for c in order)
+            if not len(run):
+                continue
+            opened = (run[0], check[0]) if opened is None else opened
+            new = np.concatenate([[(run[0], check[0]) != name], (run[1:] != run[:-1]) | (check[1:] != check[:-1])])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(run)), -1))
+            low = np.where(at >= 0, node[at], node[0] if keeper is None else keeper)
+            # runs that may go on beyond the batch or the range keep their names
+            border = ((run == opened[0]) & (check == opened[1])) | ((run == run[-1]) & (check == check[-1]))
+            out = border | (low < node)
+            mask = ~border[out]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(run[out], mask=mask), pa.array(check[out], mask=mask),
+                 *[batch.column(c).filter(pa.array(out)) for c in ("doc_id", "start", "end")], pa.array(low[out])],
+                ["run", "check", "doc_id", "start", "end", "keeper_id"])
+            name, keeper = (run[-1], check[-1]), low[-1]
+
+    found = stage(runs.mapInArrow(keep, "run long, check int, doc_id long, start long, end long, keeper_id long"), "runs")
+    border = found.filter("run is not null")
+    lowest = border.groupBy("run", "check").agg(F.min("keeper_id").alias("keeper_id"))
+    columns = ["doc_id", "start", "end", "keeper_id"]
+    gone = found.filter("run is null").select(*columns).unionByName(
+        border.drop("keeper_id").join(lowest.hint("merge"), ["run", "check"]).filter("keeper_id < doc_id").select(*columns))
+    spans = gone.repartition(width(rows.sparkSession), "doc_id").sortWithinPartitions("doc_id", "start", "end", "keeper_id")
+
+    def merge(batches):
+        held = None
+        for batch in batches:
+            node, start, end, keeper = (batch.column(c).to_numpy() for c in columns)
+            if held is not None:
+                node, start, end, keeper = (np.concatenate([[h], x]) for h, x in zip(held, (node, start, end, keeper), strict=True))
+            if not len(node):
+                continue
+            opens = np.concatenate([[True], (node[1:] != node[:-1]) | (keeper[1:] != keeper[:-1]) | (start[1:] > end[:-1])])
+            first = np.flatnonzero(opens)
+            last = np.append(first[1:], len(node)) - 1
+            furthest = np.maximum.reduceat(end, first)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1]) for x in (node[first], start[first], furthest, keeper[first])], columns)
+            held = node[last[-1]], start[first[-1]], furthest[-1], keeper[last[-1]]
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in held], columns)
+
+    return spans.mapInArrow(merge, "doc_id long, start long, end long, keeper_id long")
 
 
 def repeated_passages(docs: DataFrame, least_words: int = RUN, num: int = 4, den: int = 5, key: str = "doc_id",
@@ -188,44 +315,8 @@ def repeated_passages(docs: DataFrame, least_words: int = RUN, num: int = 4, den
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(
         "doc_id is not null and text is not null")
-
-    def sign(batches):
-        for batch in batches:
-            for low, words in runs_of(batch.column("text")):
-                found, offsets = signatures(words, words.data, least_words)
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, words.rows), lists],
-                                                 ["node", "signatures"])
-
-    signed = rows.mapInArrow(sign, "node long, signatures array<long>").select(
-        F.explode("signatures").alias("signature"), "node")
-    pairs = stage(together(signed), "pairs")
-    needed = pairs.select(F.col("center").alias("doc_id")).unionByName(pairs.select(F.col("member").alias("doc_id"))).distinct()
-    contents = rows.join(needed.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").distinct()
-    contents = stage(contents, "contents").withColumn("weight", F.expr("octet_length(text) div 6"))
-    tasks = blocks(groups_of(pairs), contents)
-    place = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-
-    def compare(batches):
-        for _, (names, left, (texts,)) in tasks_of(batches, "text"):
-            links, runs = _compare(names, left, texts, least_words, num, den)
-            link = [({"doc_id": a[0], "start": a[1], "end": a[2]}, {"doc_id": b[0], "start": b[1], "end": b[2]})
-                    for a, b in links]
-            none = [None] * len(runs)
-            if link or runs:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x for x, _ in link] + none, place), pa.array([y for _, y in link] + none, place),
-                     pa.array([None] * len(link) + [{"doc_id": r[0], "start": r[1], "end": r[2]} for r in runs], place),
-                     pa.array([None] * len(link) + [r[3] for r in runs], pa.int64())], ["a", "b", "run", "keeper"])
-
-    kind = "struct<doc_id: long, start: long, end: long>"
-    found = stage(tasks.mapInArrow(compare, f"a {kind}, b {kind}, run {kind}, keeper long"), "found")
-    near = components(found.filter("a is not null").select("a", "b"))
-    whole = near.filter("node <> component").select(
-        "node.doc_id", "node.start", "node.end", F.col("component.doc_id").alias("keeper_id")).filter("doc_id <> keeper_id")
-    runs = found.filter("run is not null").groupBy("run").agg(F.min("keeper").alias("keeper_id")).select(
-        "run.doc_id", "run.start", "run.end", "keeper_id")
-    return whole.unionByName(runs).groupBy("doc_id", "start", "end").agg(F.min("keeper_id").alias("keeper_id"))
+    spans = similar_paragraphs(rows, least_words, num, den).unionByName(repeated_runs(rows))
+    return spans.groupBy("doc_id", "start", "end").agg(F.min("keeper_id").alias("keeper_id"))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

@@ -252,6 +252,33 @@ def test_passages(spark, odd, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_runs_against_brute_force(spark):
+    import random
+
+    dice = random.Random(5)
+    shared = [[f"p{n}w{dice.randrange(400)}" for _ in range(size)] for n, size in enumerate((49, 50, 51, 75, 160))]
+    docs = []
+    for i in range(60):
+        words = []
+        for _ in range(dice.randrange(1, 6)):
+            words += [f"u{dice.randrange(10 ** 6)}" for _ in range(dice.randrange(0, 40))]
+            part = dice.choice(shared)
+            cut = dice.randrange(0, 12)
+            words += part[cut:] if dice.random() < 0.5 else part
+        docs.append((i, " \u00e9 ".join([" ".join(words[:30]), "  ".join(words[30:])])))
+    runs, where = {}, {}
+    for i, text in docs:
+        ends = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        where[i] = [(tuple(text[a:b] for a, b in ends[p:p + 50]), ends[p][0], ends[p + 49][1]) for p in range(len(ends) - 49)]
+        for run, *_ in where[i]:
+            runs[run] = min(i, runs.get(run, i))
+    want = {(i, c) for i, found in where.items() for run, a, b in found if runs[run] < i for c in range(a, b)}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    found = passages.repeated_runs(df).collect()
+    assert want and {(r.doc_id, c) for r in found for c in range(r.start, r.end)} == want
+    assert all(r.keeper_id < r.doc_id for r in found)
+
+
 def test_fingerprints(odd, empty):
     rows = fingerprints.edited_fingerprints(odd).collect()
     order = sorted(plain(odd), key=lambda r: (r[0] is not None, r[0] or 0, len(r[1].encode()), zlib.crc32(r[1].encode())))
