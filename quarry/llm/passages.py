@@ -260,8 +260,8 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
             new = np.concatenate([[(run[0], check[0]) != name], (run[1:] != run[:-1]) | (check[1:] != check[:-1])])
             at = np.maximum.accumulate(np.where(new, np.arange(len(run)), -1))
             low = np.where(at >= 0, node[at], node[0] if keeper is None else keeper)
-            # runs that may go on beyond the batch or the range keep their names
-            border = ((run == opened[0]) & (check == opened[1])) | ((run == run[-1]) & (check == check[-1]))
+            # the first run of a range may have begun before it, and keeps its name
+            border = (run == opened[0]) & (check == opened[1])
             out = border | (low < node)
             mask = ~border[out]
             yield pa.RecordBatch.from_arrays(
@@ -269,13 +269,30 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
                  *[batch.column(c).filter(pa.array(out)) for c in ("doc_id", "start", "end")], pa.array(low[out])],
                 ["run", "check", "doc_id", "start", "end", "keeper_id"])
             name, keeper = (run[-1], check[-1]), low[-1]
+        if name is not None:  # the last run may go on after the range: its smallest id, without a place
+            none = pa.array([None], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([name[0]]), pa.array([name[1]]), none, none, none, pa.array([keeper])],
+                                             ["run", "check", "doc_id", "start", "end", "keeper_id"])
 
     found = stage(runs.mapInArrow(keep, "run long, check int, doc_id long, start long, end long, keeper_id long"), "runs")
-    border = found.filter("run is not null")
-    lowest = border.groupBy("run", "check").agg(F.min("keeper_id").alias("keeper_id"))
+    # the first and the last run of each range: at most two rows for each shuffle partition
+    lowest = found.filter("run is not null").groupBy("run", "check").agg(F.min("keeper_id").alias("low")).collect()
+    known = rows.sparkSession.sparkContext.broadcast({(r["run"], r["check"]): r["low"] for r in lowest})
     columns = ["doc_id", "start", "end", "keeper_id"]
-    gone = found.filter("run is null").select(*columns).unionByName(
-        border.drop("keeper_id").join(lowest.hint("merge"), ["run", "check"]).filter("keeper_id < doc_id").select(*columns))
+
+    def settle(batches):
+        for batch in batches:
+            node, start, end, keeper = (batch.column(c).to_numpy() for c in columns)
+            named = batch.column("run").is_valid().to_numpy(zero_copy_only=False)
+            if named.any():
+                keeper = keeper.copy()
+                run, check = (batch.column(c).fill_null(0).to_numpy() for c in ("run", "check"))
+                for r, c in set(zip(run[named].tolist(), check[named].tolist(), strict=True)):
+                    keeper[named & (run == r) & (check == c)] = known.value[r, c]
+            gone = keeper < node
+            yield pa.RecordBatch.from_arrays([pa.array(x[gone]) for x in (node, start, end, keeper)], columns)
+
+    gone = found.filter("doc_id is not null").mapInArrow(settle, "doc_id long, start long, end long, keeper_id long")
     spans = gone.repartition(width(rows.sparkSession), "doc_id").sortWithinPartitions("doc_id", "start", "end", "keeper_id")
 
     def merge(batches):
