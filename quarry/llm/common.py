@@ -31,8 +31,13 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, needed: DataFrame | None = None) -> None:
-    """Delete the folders this session staged, but for those that ``needed`` reads.
+def staged(spark: SparkSession) -> int:
+    """Number of folders this session has staged and not deleted."""
+    return len(_FOLDERS.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, needed: DataFrame | None = None, since: int = 0) -> None:
+    """Delete the folders this session staged after the first ``since``, but for those that ``needed`` reads.
 
     Call it when nothing else that reads them is still to run.
     """
@@ -40,7 +45,7 @@ def release(spark: SparkSession, needed: DataFrame | None = None) -> None:
     files = needed.inputFiles() if needed is not None else []
     inside = lambda path: any(path.split("://")[-1].split(":")[-1].lstrip("/") in f for f in files)
     folders = _FOLDERS.pop(app, [])
-    _FOLDERS[app] = [f for f in folders if inside(f)]
+    _FOLDERS[app] = folders[:since] + [f for f in folders[since:] if inside(f)]
     for path in set(folders) - set(_FOLDERS[app]):
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stage, width
+from quarry.llm.common import release, stage, staged, width
 from quarry.llm.components import components
 from quarry.llm.partenum import blocks, groups_of, linked, tasks_of, together
 from quarry.llm.words import Words, mix, runs_of
@@ -143,6 +143,7 @@ def _compare(names: list[int], left: int, texts: list[str], least_words: int, nu
 
 def similar_paragraphs(rows: DataFrame, least_words: int, num: int, den: int) -> DataFrame:
     """``doc_id, start, end, keeper_id`` of paragraphs that are linked to one of a smaller id."""
+    before = staged(rows.sparkSession)
 
     def sign(batches):
         for batch in batches:
@@ -179,7 +180,9 @@ def similar_paragraphs(rows: DataFrame, least_words: int, num: int, den: int) ->
 
     shape = "struct<doc_id: long, start: long, end: long>"
     near = blocks(groups_of(pairs), contents).mapInArrow(compare, f"a {shape}, b {shape}")
-    return components(near.unionByName(equal)).filter("node <> component").select(
+    reached = components(near.unionByName(equal))
+    release(rows.sparkSession, reached, since=before)  # the components are written; nothing reads the rest again
+    return reached.filter("node <> component").select(
         "node.doc_id", "node.start", "node.end", F.col("component.doc_id").alias("keeper_id")).filter("doc_id <> keeper_id")
 
 
