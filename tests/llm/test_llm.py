@@ -188,6 +188,16 @@ def test_extraction(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_extraction_open_page_among_articles(spark):
+    page = "<p>Site of things</p>{}<p>All rights</p>"
+    pages = [(1, "http://h/a/1", page.format("<p>open text</p><p>told</p>")),
+             (2, "http://h/a/2", page.format("<article><p>told</p><p>shared</p></article>")),
+             (3, "http://h/b/3", page.format("<article><p>shared</p></article>")), (4, "http://h/a/1", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    # lines outside the articles go, lines of an article are text also where pages share them
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == {1: "open text told", 2: "told shared", 3: "shared", 4: ""}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 16))
