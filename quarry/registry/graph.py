@@ -210,7 +210,7 @@ def kg_relevance(spark, sf):
     entities, relations = _graph(spark, sf)
     questions = part_questions(spark, sf)
     matched = cut_lineage(graph.mentions(questions, entities), "matched")
-    ranked = cut_lineage(graph.query_relations(questions, matched, relations), "ranked")
+    ranked = cut_lineage(graph.query_relations(questions, matched, relations, graph.EDGE_LIMIT), "ranked")
     return graph.scored_relations(questions, ranked, relations, entities).select(
         "query_id", "rel_id", "rel_rank", "fact", F.round("relevance", 6).alias("relevance"))
 
@@ -241,7 +241,7 @@ def part_chunks(spark, sf):
 def part_context(spark, sf, k=5):
     entities, relations = _graph(spark, sf)
     return graph.graph_context(part_questions(spark, sf), entities, relations, part_chunks(spark, sf),
-                               part_documents(spark, sf), k)
+                               part_documents(spark, sf), k, graph.EDGE_LIMIT)
 
 
 # --- customer and supplier graph ------------------------------------------------------
@@ -304,7 +304,7 @@ def kg_khop(spark, sf):
     entities, relations = world(spark, sf)
     names = entities.filter(F.col("type") != "customer").select(F.col("id").alias("query_id"), "name")
     roots = graph.find_roots(names, entities).select("query_id", "id")
-    return graph.neighbourhood(roots, entities, relations, depth=2)
+    return graph.neighbourhood(roots, entities, relations, 2, graph.NEIGHBOUR_LIMIT).drop("complete")
 
 
 @query("K8 P10", f"""WITH {WORLD_SQL}, q AS (SELECT n_name AS text FROM nation UNION SELECT lower(c_mktsegment) FROM customer),
