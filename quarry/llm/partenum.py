@@ -106,11 +106,12 @@ def signatures(features: np.ndarray, offsets: np.ndarray, num: int, den: int) ->
     return found[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
 
 
-def linked(sets: list[np.ndarray], left: int, num: int, den: int) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], left: int, num: int, den: int, of: list | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs with similarity num / den or more.
 
     With ``left`` below the number of sets only pairs between the first
-    ``left`` sets and the rest count, else all pairs.
+    ``left`` sets and the rest count, else all pairs.  Sets of equal ``of``
+    are no pair.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -124,6 +125,8 @@ def linked(sets: list[np.ndarray], left: int, num: int, den: int) -> list[tuple[
 
     out = []
     if n == 2:
+        if of is not None and of[0] == of[1]:
+            return []
         common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(0, 1)] if common and den * common >= num * (sizes.sum() - common) else []
     values = np.concatenate(sets)
@@ -148,6 +151,8 @@ def linked(sets: list[np.ndarray], left: int, num: int, den: int) -> list[tuple[
         common = np.bincount(near, minlength=n)
         common[:left if left < n else i + 1] = 0
         for j in np.flatnonzero((common > 0) & (den * common >= num * (sizes[i] + sizes - common))).tolist():
+            if of is not None and of[i] == of[j]:
+                continue
             a, b = find(i), find(j)
             if a != b:
                 root[max(a, b)] = min(a, b)

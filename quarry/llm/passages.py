@@ -1,6 +1,6 @@
 """Removal of passages that repeat across documents.
 
-Paragraphs (lines): equal sets of shingles are joined at once under the first
+Paragraphs (lines, and blocks of lines between blank lines): equal sets of shingles are joined at once under the first
 of them; bands of the MinHash of one paragraph of each set bring documents
 together, whose paragraphs are verified by the exact Jaccard similarity.
 
@@ -66,14 +66,23 @@ def _anchors(shingles: np.ndarray, text: np.ndarray, begins: np.ndarray) -> np.n
     return np.unique(np.concatenate(chosen))
 
 
-def _lines(words: Words, raw: np.ndarray) -> np.ndarray:
-    """First word of each line (and of each text)."""
+def _spans(words: Words, raw: np.ndarray) -> list[tuple[int, int]]:
+    """First word and end of each line and of each block of lines; a text without a blank line has no blocks."""
     if not len(words.start):
-        return np.zeros(0, np.int64)
+        return []
     breaks = np.cumsum(raw == 10)
     line = breaks[words.start]
-    new = np.concatenate([[True], (line[1:] != line[:-1]) | (words.text[1:] != words.text[:-1])])
-    return np.flatnonzero(new)
+    other = words.text[1:] != words.text[:-1]
+    apart = line[1:] - line[:-1]
+    blank = np.zeros(words.rows, bool)
+    blank[words.text[1:][(apart > 1) & ~other]] = True
+    out = set()
+    for lines in (1, 2):
+        first = np.flatnonzero(np.concatenate([[True], (apart >= lines) | other]))
+        ends = np.append(first[1:], len(words.start))
+        kept = (lines == 1) | blank[words.text[first]]
+        out.update(zip(first[kept].tolist(), ends[kept].tolist(), strict=True))
+    return sorted(out)
 
 
 def _least(shingles: np.ndarray) -> np.ndarray:
@@ -101,13 +110,11 @@ def _starts(words: Words) -> np.ndarray:
 
 
 def _paragraphs(words: Words, least_words: int):
-    """(text, start, end, set) of each paragraph of enough words; start and end are code points of its text."""
+    """(text, start, end, set) of each paragraph (line or block) of enough words; start and end are code points of its text."""
     shingles, _ = _whole(words)
     points = _code_points(words.data)
     base = points[words.offsets[:-1]]
-    first = _lines(words, words.data)
-    ends = np.append(first[1:], len(words.start))
-    for a, b in zip(first, ends, strict=True):
+    for a, b in _spans(words, words.data):
         if b - a >= least_words:
             text = int(words.text[a])
             yield (text, int(points[words.start[a]] - base[text]), int(points[words.end[b - 1]] - base[text]),
@@ -137,8 +144,8 @@ def _compare(names: list[int], left: int, texts: list[str], least_words: int, nu
     n_left = len(sets) if left >= len(texts) else len(sets) - sum(sides)
     if len(sets) < 2 or not n_left or (left < len(texts) and n_left == len(sets)):
         return []
-    pairs = linked([sets[i] for i in order], n_left, num, den)
-    return [(paragraphs[order[i]], paragraphs[order[j]]) for i, j in pairs if paragraphs[order[i]][0] != paragraphs[order[j]][0]]
+    pairs = linked([sets[i] for i in order], n_left, num, den, [paragraphs[i][0] for i in order])
+    return [(paragraphs[order[i]], paragraphs[order[j]]) for i, j in pairs]
 
 
 def similar_paragraphs(rows: DataFrame, least_words: int, num: int, den: int) -> DataFrame:
@@ -322,8 +329,8 @@ def repeated_passages(docs: DataFrame, least_words: int = RUN, num: int = 4, den
                       text: str = "text") -> DataFrame:
     """``doc_id, start, end, keeper_id``: spans of code points of ``docs`` that repeat what a smaller id keeps.
 
-    A paragraph (line) of at least ``least_words`` words goes when its 5-word
-    shingles have a Jaccard similarity of ``num / den`` or more with a
+    A paragraph (a line, or lines between blank lines) of at least ``least_words``
+    words goes when its 5-word shingles have a Jaccard similarity of ``num / den`` or more with a
     paragraph of another document, and so on through links; the first
     paragraph of each component by (id, place) stays.  A run of 50 words that
     another document has word for word (A-Z as a-z, any white space) goes

@@ -262,6 +262,30 @@ def test_passages(spark, odd, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_paragraph_linked_past_one_of_its_own_document():
+    a = np.arange(1000, dtype=np.uint64)
+    first, own = a[:100], a[10:110]  # 90 / 110 in common
+    x, v = np.concatenate([a[:95], a[200:205]]), a[5:105]
+    sets, names = [x, first, own, v], [1, 2, 2, 3]
+    similar = lambda p, q: 5 * len(np.intersect1d(p, q)) >= 4 * len(np.union1d(p, q))
+    want = {(i, j) for i in range(4) for j in range(i + 1, 4) if names[i] != names[j] and similar(sets[i], sets[j])}
+    assert similar(first, own) and (2, 3) in want
+    found = partenum.linked(sets, 4, 4, 5, names)
+    assert set(found) <= want and {i for pair in found for i in pair} == {0, 1, 2, 3}
+    assert partenum.linked([first, own], 2, 4, 5, [2, 2]) == []
+
+
+def test_wrapped_paragraphs(spark):
+    words = passage(100, 21).split()
+    near = [*words]
+    near[33] = near[66] = "else"  # no run of 50 words is left
+    wrap = lambda w, n: "\n".join(" ".join(w[i:i + n]) for i in range(0, len(w), n))
+    texts = [(1, "head\n\n" + wrap(words, 20) + "\n\ntail"), (2, "own\n \n" + wrap(near, 15) + "\n\nend"), (3, " ".join(near))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    cut = {r.doc_id: r.text for r in passages.remove(df, passages.repeated_passages(df)).collect()}
+    assert cut == {1: texts[0][1], 2: "own\nend"}
+
+
 def test_runs_against_brute_force(spark):
     import random
 
