@@ -9,9 +9,10 @@ the pipeline is tested against brute-force versions of its stages.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm import mixing, packing, partenum, passages, quality
-from quarry.llm.common import release, stage
+from quarry.llm.common import release, rows_by_id, stage
 from quarry.llm.queries import TARGETS, VOCABULARY, table
 from quarry.llm.tokens import vocabulary_file
 
@@ -23,15 +24,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each class of documents whose 5-word shingles have a similarity of 0.8 or more."""
+    """The row of smallest id of each class of rows whose 5-word shingles have a similarity of 0.8 or more."""
     release(spark, docs)
     return partenum.one_of_each(docs)
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that documents of smaller ids keep."""
+    """Texts without the passages that rows before them, by id and size, keep."""
     release(spark, docs)
-    return passages.remove(docs, passages.repeated_passages(docs))
+    rows = rows_by_id(docs)
+    spans = passages.repeated_passages(rows.select("node", "row.text"), key="node")
+    return passages.remove(rows.select("row.*", F.col("node").alias("_node")), spans, "_node").drop("_node")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

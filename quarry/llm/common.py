@@ -80,6 +80,24 @@ def part_bases(parts: DataFrame, value: Column, *keys: str) -> DataFrame:
     return totals.select("_part", *keys, "_first", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
 
 
+def rows_by_id(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``row``, a struct of the columns of ``docs``, and ``node``, which no two rows with an id share.
+
+    The node is the id where none repeats, else the place of the row in the
+    order of (id, size of text); of rows with equal id and text one is left.
+    Rows without id have no node.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("long").alias("node"))
+    if rows.filter("node is not null").groupBy("node").count().filter("count > 1").isEmpty():
+        return rows
+    column = F.col("row")[text]
+    one = Window.partitionBy("node", column).orderBy(*[F.col("row")[c].cast("string") for c in docs.columns if c != text])
+    kept = rows.filter("node is not null").withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").drop("_nth")
+    kept = kept.withColumn("_size", F.octet_length(column)).withColumn("_mark", F.xxhash64(column))
+    placed = ordered_parts(kept, "node", "_size", "_mark", purpose="rows")
+    return placed.select("row", (F.shiftleft("_part", 33) + F.col("_at")).alias("node")).unionByName(rows.filter("node is null"))
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column (null: empty) and the offsets of its values."""
     column = column.cast(pa.large_string()).fill_null("")

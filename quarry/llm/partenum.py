@@ -24,10 +24,10 @@ from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stage, width
+from quarry.llm.common import rows_by_id, stage, width
 from quarry.llm.components import components
 from quarry.llm.words import mix, runs_of
 
@@ -388,13 +388,11 @@ def one_of_each(docs: DataFrame, shingle_words: int = 5, num: int = 4, den: int
                 text: str = "text") -> DataFrame:
     """``docs`` with the row of smallest id of each class only; rows without id are kept.
 
-    Of rows that share an id the one of smallest text (then other columns)
-    stays.
+    Rows that share an id are rows of their own: each goes only if its own text
+    is in a class with a row before it by (id, size of text), or is repeated
+    under its id.
     """
-    classes = jaccard_classes(docs, shingle_words, num, den, key, text)
+    rows = rows_by_id(docs, key, text)
+    classes = jaccard_classes(rows.select("node", F.col("row")[text].alias("text")), shingle_words, num, den, "node")
     gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone.hint("merge"), F.col(key) == F.col("_gone"), "left_anti")
-    alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
-    others = [c for c in docs.columns if c not in (key, text)]
-    order = Window.partitionBy(key, "_alone").orderBy(F.octet_length(text), text, *[F.col(c).cast("string") for c in others])
-    return left.withColumn("_alone", alone).withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(*docs.columns)
+    return rows.join(gone.hint("merge"), F.col("node") == F.col("_gone"), "left_anti").select("row.*")
