@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, fingerprints, html, mixing, packing, partenum, passages, pfor, quality, sharding
+from quarry.llm import alignment, ann, fingerprints, html, licenses, mixing, packing, partenum, passages, pfor, quality, sharding
 from quarry.llm.common import scratch
 from quarry.llm.tokens import vocabulary_file
 
@@ -118,3 +118,15 @@ def op9_passages(spark, sf_dir):
 def op10_fingerprints(spark, sf_dir):
     """Fingerprint of every document and of its edited text."""
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query(licenses.scan_sql())
+def op12_licenses(spark, sf_dir):
+    """License labels of every document from notices in place and counted phrases."""
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("notices")
+
+
+@query()
+def op13_alignment(spark, sf_dir):
+    """Links between the tokens of a byte-level and a sentence-piece tokenizer in every document."""
+    return alignment.align_documents(table(spark, sf_dir, "documents"))
