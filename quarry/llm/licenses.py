@@ -148,7 +148,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases=P
     hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))),
                     lambda h: F.array_contains(F.col("rare"), h["word"]))
     none = F.array().cast("array<struct<word:string,at:int>>")
-    verified = F.array_compact(F.array(*[F.when(_holds("norm", t.phrases), F.lit(i)) for i, t in enumerate(templates)]))
+    verified = F.array_compact(F.array(*[F.when(_holds("norm", t.phrases), F.lit(i)) for i, t in enumerate(templates)]).cast(
+        "array<int>"))
     base = F.array(*[F.struct(_places("norm", "words", template_words(p)).alias("at"), F.lit(label).alias("label"))
                      for p, label in phrases])
     light = stage(split.select(
@@ -156,10 +157,10 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases=P
         verified.alias("verified"), F.when(F.size("rare") > 0, hits).otherwise(none).alias("hits")), "licenses")
 
     index = docs.sparkSession.range(1).select(F.inline(F.array(*[
-        F.struct(F.lit(w).alias("word"), F.lit(i).alias("template"), F.lit(at).alias("place"), F.lit(x).alias("weight"))
-        for w, i, at, x in postings])))
-    totals = F.array(*[F.lit(x) for x in total])
-    label = F.array(*[F.lit(t.label) for t in templates])
+        F.struct(F.lit(w), F.lit(i), F.lit(at), F.lit(x)) for w, i, at, x in postings]).cast(
+            "array<struct<word:string,template:int,place:int,weight:int>>")))
+    totals = F.array(*[F.lit(x) for x in total]).cast("array<int>")
+    label = F.array(*[F.lit(t.label) for t in templates]).cast("array<string>")
     met = unnest(light, "hits", "hit", keep=["row", "verified"]).select("row", "verified", "hit.word", "hit.at").join(
         F.broadcast(index), "word")  # a row for each place of a word in the templates
     placed = met.groupBy("row", "template", (F.col("at") - F.col("place")).alias("begin")).agg(

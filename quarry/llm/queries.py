@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import alignment, ann, fingerprints, html, licenses, mixing, packing, partenum, passages, pfor, quality, sharding
+from quarry.llm import alignment, ann, fingerprints, html, licenses, maxscore, mixing, packing, partenum, passages, pfor, quality, sharding
 from quarry.llm.common import scratch
 from quarry.llm.tokens import vocabulary_file
 
@@ -120,6 +120,13 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query(maxscore.search_sql())
+def op11_maxscore(spark, sf_dir):
+    """The 20 best documents of every benchmark item by integer impacts of shared terms."""
+    items = table(spark, sf_dir, "benchmark")
+    return maxscore.search(maxscore.build_index(table(spark, sf_dir, "documents")), items)
+
+
 @query(licenses.scan_sql())
 def op12_licenses(spark, sf_dir):
     """License labels of every document from notices in place and counted phrases."""

@@ -1,7 +1,7 @@
 """64-bit hashes of the words and word shingles of many texts at once.
 
-A word is a longest run of bytes that are not ASCII white space; A-Z count as
-a-z.  A range of bytes b0..bn hashes to b0 + b1 B + b2 B^2 ... modulo 2^64,
+A word is a longest run of bytes that are not ASCII white space, or not in
+another given table; A-Z count as a-z.  A range of bytes b0..bn hashes to b0 + b1 B + b2 B^2 ... modulo 2^64,
 which prefix sums give for all ranges, and is then mixed with its length.
 """
 
@@ -44,13 +44,14 @@ def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a run of texts: ``text`` (row), ``start``, ``end`` (bytes) and ``hash`` of each word."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True,
+                 space: np.ndarray = SPACE) -> None:
         self.data, self.offsets, self.rows = (LOWER[data] if lower else data), offsets, len(offsets) - 1
         n = len(data)
         forward, self._back = _powers_of(n)
         self._sums = np.zeros(n + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * forward[:n], out=self._sums[1:])
-        visible = ~SPACE[data]
+        visible = ~space[data]
         first = np.zeros(n + 1, bool)
         first[offsets] = True
         opens, closes = visible.copy(), visible.copy()
@@ -97,9 +98,9 @@ class Words:
         return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), offsets
 
 
-def runs_of(column: pa.Array, lower: bool = True):
+def runs_of(column: pa.Array, lower: bool = True, space: np.ndarray = SPACE):
     """Yields (first row, Words) over a column of texts, a bounded run of rows at a time; null is empty."""
     data, offsets = text_buffer(column)
     for low, high in slices(offsets, SLICE):
-        yield low, Words(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], lower)
+        yield low, Words(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], lower, space)
     pa.default_memory_pool().release_unused()
