@@ -154,8 +154,8 @@ def bench_queries(spark, sf):
 
 
 def keyword_search(spark, sf):
-    docs = table(spark, sf, "documents")
-    return lambda q, k: lexical.bm25_topk(docs, q, k, query_id="query_id")
+    index = lexical.bm25_index(table(spark, sf, "documents"))
+    return lambda q, k: lexical.bm25_topk(index, q, k, query_id="query_id")
 
 
 def vector_search(spark, sf):
@@ -235,17 +235,20 @@ def planned_hits(spark, sf):
     return ranked.withColumn("score", 1.0 / F.col("rank"))
 
 
-def _scores(spark, sf):
-    return lexical.bm25_scores(table(spark, sf, "documents"), bench_queries(spark, sf), "doc_id", "text", "query_id", "text"
-                               ).withColumn("score", F.round("score", 9))
+def _planned(spark, sf, k=5):
+    """Planned BM25 hits; one pass over the documents for the index, one for the planned ones."""
+    docs, queries = table(spark, sf, "documents"), bench_queries(spark, sf)
+    index = lexical.bm25_index(docs)
+    of = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"))
+    return plan.planned_search(
+        queries, plan.planned_documents(planned_hits(spark, sf)), of, lambda pairs: lexical.bm25_pairs(index, docs, pairs, queries),
+        lambda q, n: lexical.bm25_topk(index, q, n, query_id="query_id"), k)
 
 
 @query("J5 V6", f"""WITH {PLAN_SQL} SELECT query_id, id, rank, planned, round(score, 6) AS score FROM vec""")
 def planned_filter_search(spark, sf):
     """BM25 restricted to planned documents, unrestricted where that finds nothing."""
-    documents = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"))
-    out = plan.planned_search(_scores(spark, sf), plan.planned_documents(planned_hits(spark, sf)), documents, 5)
-    return out.select("query_id", "id", "rank", "planned", F.round("score", 6).alias("score"))
+    return _planned(spark, sf).select("query_id", "id", "rank", "planned", F.round("score", 6).alias("score"))
 
 
 @query("V15 J5 V9", f"""WITH {PLAN_SQL}, u AS (SELECT query_id, id, rank, 1.25 AS w, 1.0 / rank AS score, 0 AS br, 'knowledge_graph' AS src FROM g0 WHERE rank <= 5
@@ -255,7 +258,7 @@ SELECT query_id, key, rank, sources, round(rrf, 9) AS rrf_score, round(greatest(
 def graph_hybrid(spark, sf):
     """Graph branch fused with the planned vector branch."""
     documents = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"))
-    out = plan.graph_hybrid(planned_hits(spark, sf), _scores(spark, sf), documents, 5)
+    out = plan.graph_hybrid(planned_hits(spark, sf), _planned(spark, sf), documents, 5)
     return out.select("query_id", "key", "rank", F.array_join("sources", "+").alias("sources"),
                       F.round("rrf_score", 9).alias("rrf_score"), F.round("score", 6).alias("score"))
 
