@@ -200,8 +200,19 @@ def part_questions(spark, sf) -> DataFrame:
 def kg_mentions(spark, sf):
     """Entities mentioned by each question, best first."""
     entities, _ = _graph(spark, sf)
-    return graph.mentions(part_questions(spark, sf), entities).select(
-        "query_id", "id", "name", "type", "in_query", "score", "entity_rank")
+    return graph.mentions(part_questions(spark, sf), entities, graph.MENTION_LIMIT).select(*MENTION_COLUMNS)
+
+
+MENTION_COLUMNS = ["query_id", "id", "name", "type", "in_query", "score", "entity_rank"]
+# The same without the limits of 30 entities and 80 relations.
+WHOLE_SQL = QUESTIONS_SQL.replace("WHERE er <= 30", "").replace("WHERE rn <= 80", "")
+
+
+@query("J6 V13", f"""WITH {WHOLE_SQL} SELECT query_id, id, name, type, inq AS in_query, score, er AS entity_rank, true AS complete FROM ment""")
+def kg_mentions_all(spark, sf):
+    """All entities mentioned by each question, best first."""
+    entities, _ = _graph(spark, sf)
+    return graph.mentions(part_questions(spark, sf), entities).select(*MENTION_COLUMNS, "complete")
 
 
 @query("J7 V12 F20 F4", f"""WITH {QUESTIONS_SQL} SELECT query_id, rid AS rel_id, rank AS rel_rank, fact, round(rel, 6) AS relevance FROM sc""")
@@ -209,13 +220,24 @@ def kg_relevance(spark, sf):
     """Relations of each question with rank, printed fact and relevance."""
     entities, relations = _graph(spark, sf)
     questions = part_questions(spark, sf)
-    matched = cut_lineage(graph.mentions(questions, entities), "matched")
+    matched = cut_lineage(graph.mentions(questions, entities, graph.MENTION_LIMIT), "matched")
     ranked = cut_lineage(graph.query_relations(questions, matched, relations, graph.EDGE_LIMIT), "ranked")
     return graph.scored_relations(questions, ranked, relations, entities).select(
         "query_id", "rel_id", "rel_rank", "fact", F.round("relevance", 6).alias("relevance"))
 
 
-CONTEXT_SQL = QUESTIONS_SQL + """,
+@query("J7 V12 F20 F4", f"""WITH {WHOLE_SQL} SELECT query_id, rid AS rel_id, rank AS rel_rank, true AS complete, round(rel, 6) AS relevance FROM sc""")
+def kg_relevance_all(spark, sf):
+    """All relations of each question, with rank and relevance."""
+    entities, relations = _graph(spark, sf)
+    questions = part_questions(spark, sf)
+    matched = cut_lineage(graph.mentions(questions, entities), "matched")
+    ranked = cut_lineage(graph.query_relations(questions, matched, relations), "ranked")
+    return graph.scored_relations(questions, ranked, relations, entities).select(
+        "query_id", "rel_id", "rel_rank", "complete", F.round("relevance", 6).alias("relevance"))
+
+
+LINES_SQL = """,
   lines AS (SELECT query_id, d, sum(rel) AS part, 0 AS br, min(rank) AS posn, fact AS line FROM sc GROUP BY query_id, d, fact
             UNION ALL SELECT query_id, src, CASE WHEN inq THEN 1.5 ELSE 0.6 END, 1, er, '命中实体：' || name || '（' || type || '）' FROM ment),
   ds AS (SELECT query_id, d AS id, round(sum(part), 9) AS kg, list_slice(list(line ORDER BY br, posn, line), 1, 24) AS facts FROM lines GROUP BY ALL),
@@ -224,6 +246,7 @@ CONTEXT_SQL = QUESTIONS_SQL + """,
      '## 知识图谱命中事实' || chr(10) || '- ' || array_to_string(facts, chr(10) || '- ') || chr(10) || chr(10) || '## 来源片段' || chr(10) ||
      array_to_string(list_transform(range(0, least(3, ceil(length(text) / 64.0)::INT)), lambda i: substr(text, i * 64 + 1, 64)), chr(10)) AS content
      FROM topd JOIN doc ON doc.d = topd.id)"""
+CONTEXT_SQL, WHOLE_CONTEXT_SQL = QUESTIONS_SQL + LINES_SQL, WHOLE_SQL + LINES_SQL
 
 
 @query("V14 A12 W7", f"""WITH {CONTEXT_SQL} SELECT query_id, rank, id, document_id, round(score, 6) AS score, round(kg, 6) AS kg_score,
@@ -238,10 +261,19 @@ def part_chunks(spark, sf):
     return chunk_table(part_documents(spark, sf), "document_id", "text", "fixed", 64, 0)
 
 
-def part_context(spark, sf, k=5):
+def part_context(spark, sf, k=5, edge_limit=graph.EDGE_LIMIT, mention_limit=graph.MENTION_LIMIT):
     entities, relations = _graph(spark, sf)
     return graph.graph_context(part_questions(spark, sf), entities, relations, part_chunks(spark, sf),
-                               part_documents(spark, sf), k, graph.EDGE_LIMIT)
+                               part_documents(spark, sf), k, edge_limit, mention_limit)
+
+
+@query("V14 A12 W7", f"""WITH {WHOLE_CONTEXT_SQL} SELECT query_id, rank, id, document_id, round(score, 6) AS score, round(kg, 6) AS kg_score,
+content, true AS complete FROM ctx""")
+def kg_context_all(spark, sf):
+    """Graph context of each question from all its entities and relations."""
+    return part_context(spark, sf, 5, None, None).select(
+        "query_id", "rank", "id", "document_id", F.round("score", 6).alias("score"), F.round("kg_score", 6).alias("kg_score"),
+        "content", "complete")
 
 
 # --- customer and supplier graph ------------------------------------------------------
@@ -288,7 +320,7 @@ def world(spark, sf):
     return union(entities), union(relations)
 
 
-@query("J3 J4", f"""WITH {WORLD_SQL},
+HOP_SQL = f"""WITH {WORLD_SQL},
 ends AS (SELECT id, s AS node FROM wrel UNION SELECT id, o FROM wrel WHERE o IS NOT NULL),
 root AS (SELECT id AS query_id, id AS node FROM went WHERE type IN ('region', 'nation', 'supplier')),
 h1 AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rn FROM root JOIN ends USING (node)) WHERE rn <= 120),
@@ -298,7 +330,10 @@ h2b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY i
 used AS (SELECT query_id, count(*) AS n FROM h1 GROUP BY 1),
 h AS (SELECT query_id, id, 1 AS hop FROM h1 UNION ALL SELECT query_id, id, 2 FROM h2b JOIN used USING (query_id) WHERE rn <= 120 - n)
 SELECT query_id, wrel.id AS rel_id, hop, s AS source, coalesce(o, 'value:' || wrel.id) AS target, coalesce(t.name, vt) AS target_name,
-coalesce(t.type, 'value') AS target_type, p AS predicate FROM h JOIN wrel USING (id) LEFT JOIN went t ON t.id = o""")
+coalesce(t.type, 'value') AS target_type, p AS predicate FROM h JOIN wrel USING (id) LEFT JOIN went t ON t.id = o"""
+
+
+@query("J3 J4", HOP_SQL)
 def kg_khop(spark, sf):
     """Two-hop neighbourhood of every region, nation and supplier, found by name."""
     entities, relations = world(spark, sf)
@@ -307,6 +342,14 @@ def kg_khop(spark, sf):
     return graph.neighbourhood(roots, entities, relations, 2, graph.NEIGHBOUR_LIMIT).drop("complete")
 
 
+@query("J3 J4", f"""SELECT *, true AS complete FROM ({HOP_SQL.replace(" WHERE rn <= 120 - n", "").replace(" WHERE rn <= 120", "")})""")
+def kg_khop_all(spark, sf):
+    """Two-hop neighbourhood of every region, nation and supplier, whole."""
+    entities, relations = world(spark, sf)
+    names = entities.filter(F.col("type") != "customer").select(F.col("id").alias("query_id"), "name")
+    return graph.neighbourhood(graph.find_roots(names, entities).select("query_id", "id"), entities, relations, 2)
+
+
 @query("K8 P10", f"""WITH {WORLD_SQL}, q AS (SELECT n_name AS text FROM nation UNION SELECT lower(c_mktsegment) FROM customer),
 eh AS (SELECT text, id, name, row_number() OVER (PARTITION BY text ORDER BY type, name, id) AS rank FROM q JOIN went ON contains(lower(name), lower(text))),
 rh AS (SELECT text, wrel.id, row_number() OVER (PARTITION BY text ORDER BY wrel.id) AS rank, e.name || ' --' || p || '--> ' || coalesce(vt, '') AS label
