@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.ranking import top_k
-from quarry.session import SMALL_SIDE_ROWS, fits
+from quarry.session import SMALL_SIDE_ROWS, fits, shared_dir
 
 BLOCK_ROWS = 20_000
 DIGITS = 9  # scores are compared at this precision, so equal vectors tie
@@ -170,37 +170,70 @@ def keyed_topk(corpus: DataFrame, queries: DataFrame, key: str, k: int = 5, metr
 
 
 class CellIndex:
-    """Vectors partitioned into k-means cells; queries probe the nearest ones (V4)."""
+    """Vectors in k-means cells (V4): a folder of Parquet partitions by cell, and the cells' centroids.
 
-    def __init__(self, cells: DataFrame, centroids: DataFrame):
-        self.cells = cells          # id, vec, cell
-        self.centroids = centroids  # cell, vec
+    A search reads the partitions of the cells that its queries probe and no
+    others.  Rows are added without a new fit; they go to the cells that stand.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @property
+    def cells(self) -> DataFrame:
+        """(id, vec, cell), cell being the partition."""
+        return self.spark.read.parquet(f"{self.path}/cells")
+
+    @property
+    def centroids(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/centroids")
 
     @classmethod
     def build(cls, corpus: DataFrame, doc_id: str = "vec_id", doc_vec: str = "embedding", n_cells: int = 128,
-              seed: int = 7, max_iter: int = 10) -> "CellIndex":
-        """Train centroids on all vectors and assign each to its cell."""
+              seed: int = 7, max_iter: int = 10, path: str | None = None) -> CellIndex:
+        """Train centroids on all vectors, assign each to its cell, and store both."""
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
         spark = corpus.sparkSession
-        c = _shape(corpus, doc_id, doc_vec, "id")
-        unit = F.expr("transform(vec, x -> cast(x as double) / _n)")
-        c = (c.withColumn("_n", F.sqrt(F.expr("aggregate(vec, 0D, (s, x) -> s + cast(x as double) * x)")))
-             .filter("_n > 0").withColumn("_f", array_to_vector(unit)))
+        index = cls(spark, path or shared_dir(spark, "cells"))
+        c = _unit_rows(corpus, doc_id, doc_vec).withColumn("_f", array_to_vector("_unit"))
         n = c.count()
-        model = KMeans(k=min(n_cells, n), seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="cell").fit(
-            c.select("_f"))
-        centers = [(i, [float(x) for x in v]) for i, v in enumerate(model.clusterCenters())]
-        centroids = spark.createDataFrame(centers, "cell int, vec array<double>")
-        return cls(model.transform(c).select("id", "vec", "cell"), centroids)
+        if not n:
+            spark.createDataFrame([], "cell int, vec array<double>").write.parquet(f"{index.path}/centroids")
+            _shape(corpus, doc_id, doc_vec, "id").withColumn("cell", F.lit(0)).limit(0).write.parquet(f"{index.path}/cells")
+            return index
+        model = KMeans(k=min(n_cells, n), seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="cell").fit(c.select("_f"))
+        centers = [(i, [float(x) for x in v]) for i, v in enumerate(model.clusterCenters())]  # n_cells rows, a parameter
+        spark.createDataFrame(centers, "cell int, vec array<double>").write.parquet(f"{index.path}/centroids")
+        index.add(corpus, doc_id, doc_vec)
+        return index
+
+    def add(self, corpus: DataFrame, doc_id: str = "vec_id", doc_vec: str = "embedding") -> CellIndex:
+        """Append vectors to the cells of their nearest centroids; zero vectors stay out."""
+        rows = _unit_rows(corpus, doc_id, doc_vec).select("id", "vec")
+        placed = _nearest_cells(rows, self.centroids, 1).select("id", "vec", "cell")
+        placed.write.mode("append").partitionBy("cell").parquet(f"{self.path}/cells")
+        return self
+
+    def probed(self, probes: DataFrame) -> DataFrame:
+        """The partitions that ``probes.cell`` names; at most n_cells numbers reach the plan."""
+        wanted = [r["cell"] for r in probes.select("cell").distinct().collect()]
+        return self.cells.filter(F.col("cell").isin(wanted))
 
     def search(self, queries: DataFrame, k: int = 5, n_probe: int = 16, query_id: str = "query_id",
                query_vec: str = "vec") -> DataFrame:
         q = _shape(queries, query_id, query_vec, "query_id")
         # Centroids are the small side here: the queries are scanned once.
         probes = _nearest_cells(q, self.centroids, n_probe)
-        return keyed_topk(self.cells, probes, "cell", k, "cosine", "id", "vec", "query_id", "vec")
+        return keyed_topk(self.probed(probes), probes, "cell", k, "cosine", "id", "vec", "query_id", "vec")
+
+
+def _unit_rows(corpus: DataFrame, doc_id: str, doc_vec: str) -> DataFrame:
+    """(id, vec, _unit) of the vectors that have a direction."""
+    length = F.expr("sqrt(aggregate(vec, 0D, (s, x) -> s + cast(x as double) * x))")
+    rows = _shape(corpus, doc_id, doc_vec, "id").withColumn("_n", length).filter("_n > 0")
+    return rows.withColumn("_unit", F.expr("transform(vec, x -> cast(x as double) / _n)")).drop("_n")
 
 
 def _nearest_cells(queries: DataFrame, centroids: DataFrame, n_probe: int) -> DataFrame:

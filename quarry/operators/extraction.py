@@ -211,6 +211,24 @@ def upsert_entities(nodes: DataFrame, seq: list[str]) -> DataFrame:
         "source_document_id")
 
 
+def condense_nodes(nodes: DataFrame, seq: list[str]) -> DataFrame:
+    """Node rows that give the same entities as ``nodes``, with any other rows besides.
+
+    Of each (type, key) its first and its last row stay, and of each property
+    the row that sets it last, with that property alone.
+    """
+    order, columns = F.struct(*seq), [c for c in nodes.columns if c not in ("type", "key", "properties")]
+    row = F.struct(*columns)
+    ends = nodes.groupBy("type", "key").agg(
+        F.max_by(row, order).alias("last"),
+        F.min_by(row, F.when(F.col("source_document_id").isNotNull(), order)).alias("first"))
+    ends = ends.select("type", "key", F.explode(F.array_distinct(F.array("last", "first"))).alias("row")).filter("row is not null")
+    bare = ends.select("type", "key", "row.*", F.create_map().cast("map<string,string>").alias("properties"))
+    props = nodes.select("type", "key", row.alias("row"), order.alias("_seq"), F.explode("properties").alias("p", "v"))
+    props = props.groupBy("type", "key", "p").agg(F.max_by(F.struct("row", "v"), "_seq").alias("set"))
+    return bare.unionByName(props.select("type", "key", "set.row.*", F.create_map("p", "set.v").alias("properties")))
+
+
 RELATION_COLUMNS = ["id", "subject_id", "predicate", "object_id", "value_text", "value_number", "value_min",
                     "value_max", "properties", "source_document_id", "source_chunk_id", "confidence", "extractor"]
 

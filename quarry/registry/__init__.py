@@ -6,7 +6,7 @@ from importlib import import_module
 
 from quarry.registry.catalog import CATALOG
 
-for _area in ("search", "chunks", "evaluate", "graph", "documents", "conversations", "textfields", "streams", "chain"):
+for _area in ("search", "chunks", "evaluate", "graph", "documents", "conversations", "textfields", "streams", "chain", "tables"):
     import_module(f"quarry.registry.{_area}")
 
 __all__ = ["CATALOG"]

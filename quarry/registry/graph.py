@@ -12,7 +12,7 @@ from quarry.operators import extraction as kg
 from quarry.operators import graph
 from quarry.operators.chunking import chunk_table
 from quarry.registry.catalog import query, table
-from quarry.session import cut_lineage
+from quarry.session import cut_lineage, file_states
 
 # --- part records as `key: value` documents -------------------------------------------
 
@@ -81,7 +81,7 @@ _STORED: dict = {}
 
 def _graph(spark, sf):
     """Entities and relations of the part documents, written once for each session and state of the table."""
-    key = spark.sparkContext.applicationId, tuple(sorted(table(spark, sf, "part").inputFiles()))
+    key = spark.sparkContext.applicationId, file_states(table(spark, sf, "part"))
     if key not in _STORED or _STORED[key][0].sparkSession is not spark:
         _STORED[key] = kg.store_graph(*kg.build_graph(part_documents(spark, sf), kg.mapping_table(spark)))
     return _STORED[key]
@@ -212,7 +212,7 @@ WHOLE_SQL = QUESTIONS_SQL.replace("WHERE er <= 30", "").replace("WHERE rn <= 80"
 def kg_mentions_all(spark, sf):
     """All entities mentioned by each question, best first."""
     entities, _ = _graph(spark, sf)
-    return graph.mentions(part_questions(spark, sf), entities).select(*MENTION_COLUMNS, "complete")
+    return graph.mentions(part_questions(spark, sf), entities, None).select(*MENTION_COLUMNS, "complete")
 
 
 @query("J7 V12 F20 F4", f"""WITH {QUESTIONS_SQL} SELECT query_id, rid AS rel_id, rank AS rel_rank, fact, round(rel, 6) AS relevance FROM sc""")
@@ -231,7 +231,7 @@ def kg_relevance_all(spark, sf):
     """All relations of each question, with rank and relevance."""
     entities, relations = _graph(spark, sf)
     questions = part_questions(spark, sf)
-    matched = cut_lineage(graph.mentions(questions, entities), "matched")
+    matched = cut_lineage(graph.mentions(questions, entities, None), "matched")
     ranked = cut_lineage(graph.query_relations(questions, matched, relations), "ranked")
     return graph.scored_relations(questions, ranked, relations, entities).select(
         "query_id", "rel_id", "rel_rank", "complete", F.round("relevance", 6).alias("relevance"))

@@ -165,6 +165,15 @@ def ivf_recall(spark, sf):
     return hit.groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 
+@query("V4", f"""WITH {COSINE_SQL} SELECT query_id, id, rank, round(score, 6) AS score FROM ({top_sql('cos', 10)})""")
+def ivf_all_cells(spark, sf):
+    """A stored cell index, half of it added after the fit, with every cell probed: the exact list."""
+    emb = table(spark, sf, "embeddings")
+    first = F.pmod(F.xxhash64("vec_id"), F.lit(2)) == 0
+    index = dense.CellIndex.build(emb.filter(first), n_cells=32).add(emb.filter(~first))
+    return _dense_table(index.search(label_centroids(emb), 10, n_probe=32))
+
+
 # --- fusion -------------------------------------------------------------------------
 
 @query("V8 W1 O1", f"""WITH {COSINE_SQL}, {L2_SQL},

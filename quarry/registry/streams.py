@@ -91,7 +91,7 @@ def stream_ingest(spark, sf):
 def stream_entities(spark, sf):
     """Entity table of arriving part documents."""
     docs = g.as_documents(table_stream(spark, sf, "part"))
-    out = jobs.entity_upserts(docs, kg.mapping_table(spark), BatchLog(spark, "stream-entities"))
+    out = jobs.entity_upserts(docs, kg.mapping_table(spark), jobs.entity_log(spark, "stream-entities"))
     return out.select("id", "type", "normalized_name", "name", "source_document_id")
 
 

@@ -78,6 +78,16 @@ def cut_lineage(df: DataFrame, purpose: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_states(df: DataFrame) -> tuple[tuple[str, int, int], ...]:
+    """(name, size, time of change) of the files that ``df`` reads: a table that was rewritten differs."""
+    spark, out = df.sparkSession, []
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
 def fits(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> bool:
     """True when ``df`` has at most ``max_rows`` rows (reads no more than needed)."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.rows import unnest
 from quarry.functions.text import safe_name, strip
-from quarry.operators.chunking import chunk_arrays, chunk_table
+from quarry.operators.chunking import chunk_arrays, chunk_rows
 from quarry.operators.extraction import chunk_id
+from quarry.session import cut_lineage, fits
+from quarry.sources.versions import VersionedTable
 
 # Stored length of each text field of the vector table.
 FIELD_LENGTHS = {"content": 65000, "source": 500, "document_id": 120, "entity_name": 250,
@@ -66,9 +70,10 @@ def ingest(documents: DataFrame, strategy: str = "recursive", size: int = 512, o
     ``documents`` has (document_id, filename, text, warning).  A document that
     gives no chunk is a failed row; it never stops the others.
     """
-    table = chunk_table(documents, "document_id", "text", strategy, size, overlap)
+    # Both results read the chunks: the texts are cut once and written.
+    arrays = cut_lineage(chunk_arrays(documents, "text", ["document_id", "filename", "warning"], strategy, size, overlap), "chunks")
+    table = chunk_rows(arrays, "document_id")
     table = table.withColumn("id", chunk_id(F.col("document_id"), F.col("chunk_index")))
-    arrays = chunk_arrays(documents, "text", ["document_id", "filename", "warning"], strategy, size, overlap)
     outcome = arrays.select(
         "document_id", "filename", "chunk_count",
         F.when(F.col("chunk_count") > 0, "ready").otherwise("failed").alias("status"),
@@ -77,7 +82,13 @@ def ingest(documents: DataFrame, strategy: str = "recursive", size: int = 512, o
 
 
 def vector_rows(rows: DataFrame) -> DataFrame:
-    """Rows cut to the field lengths of the vector table; unknown fields dropped."""
+    """Rows cut to the field lengths of the vector table; unknown fields dropped.
+
+    A missing chunk_index becomes the row's ``position`` in what is inserted, where that column is given.
+    """
+    if "position" in rows.columns:
+        given = F.col("chunk_index") if "chunk_index" in rows.columns else F.lit(None)
+        rows = rows.withColumn("chunk_index", F.coalesce(given.cast("int"), F.col("position").cast("int")))
     fields = ["id", *FIELD_LENGTHS, "chunk_index", "embedding"]
     cut = lambda c: F.left(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(FIELD_LENGTHS[c])).alias(c)
     return rows.select(*[cut(c) if c in FIELD_LENGTHS else F.col(c) for c in fields if c in rows.columns])
@@ -88,6 +99,16 @@ def append_vectors(rows: DataFrame, path: str) -> None:
     vector_rows(rows).write.mode("append").partitionBy("parent_group").parquet(path)
 
 
+def rebuild_vectors(rows: DataFrame, embed: Callable[[Column], Column], target: VersionedTable) -> DataFrame:
+    """Embed ``rows`` and put them in place of the rows of the same id.
+
+    Readers of the table see the rows before or after, never in between, and
+    a second run leaves the same rows.
+    """
+    made = vector_rows(rows.withColumn("embedding", embed(F.coalesce(F.col("content"), F.lit("")))))
+    return target.upsert(made, "id")
+
+
 def write_by_attribute(df: DataFrame, path: str, primary: str, name: str) -> None:
     """One folder per primary attribute with sanitised record names."""
     clean = df.withColumn("file_name", F.left(safe_name(F.col(name)), F.lit(80)))
@@ -98,6 +119,7 @@ def write_by_attribute(df: DataFrame, path: str, primary: str, name: str) -> Non
 
 CASE_SCHEMA = ("query string, ground_truth_contexts array<string>, ground_truth_answer string, "
                "relevant_ids array<string>, key_facts array<string>, metadata map<string,string>")
+CASE_COLUMNS = ("query", "ground_truth_contexts", "ground_truth_answer", "relevant_ids", "key_facts", "metadata")
 SET_SCHEMA = ("name string, version string, description string, created_at string, "
               f"test_cases array<struct<{CASE_SCHEMA}>>")
 
@@ -108,6 +130,25 @@ def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
     return doc.select("name", F.posexplode("test_cases").alias("case_no", "c")).select("name", "case_no", "c.*")
 
 
+def write_eval_set(cases: DataFrame, path: str, name: str, version: str = "1.0", description: str = "",
+                   created_at: str = "", max_cases: int = 100_000) -> None:
+    """An evaluation set as one JSON document (S3).
+
+    ``cases`` has case_no and the columns of a case, in that order in the
+    document.  One document is written by one task, so a set of more than
+    ``max_cases`` is refused; :func:`write_cases` takes any number.
+    """
+    if not fits(cases, max_cases):
+        raise ValueError(f"more than {max_cases} cases do not go into one document")
+    case = F.struct(*[F.col(c) for c in CASE_COLUMNS])
+    by_number = lambda a, b: F.when(a["case_no"] < b["case_no"], -1).when(a["case_no"] > b["case_no"], 1).otherwise(0)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("case_no", case.alias("c"))), by_number), lambda s: s["c"])
+    cases.agg(listed.alias("test_cases")).select(
+        F.lit(name).alias("name"), F.lit(version).alias("version"), F.lit(description).alias("description"),
+        F.lit(created_at).alias("created_at"), "test_cases").coalesce(1).write.mode("overwrite").option(
+        "ignoreNullFields", False).json(path)
+
+
 def write_cases(cases: DataFrame, path: str) -> None:
     """One case per line; any number of cases (S3)."""
     cases.write.mode("overwrite").json(path)

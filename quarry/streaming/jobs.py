@@ -10,7 +10,7 @@ from quarry.operators import extraction as kg
 from quarry.operators.catalog import save_conversations
 from quarry.operators.traces import with_cost
 from quarry.sources import files
-from quarry.streaming.log import BatchLog
+from quarry.streaming.log import BatchLog, MergedLog
 
 
 def usage_counters(usage: DataFrame, log: BatchLog) -> DataFrame:
@@ -41,16 +41,22 @@ def entity_upserts(documents: DataFrame, mapping: DataFrame, log: BatchLog) -> D
     """Entity table of arriving documents.
 
     Each batch appends its node rows; reading merges them by (type, name) in
-    document order, whatever the order of arrival.
+    document order, whatever the order of arrival.  With :func:`entity_log` the
+    log itself keeps few folders of condensed rows.
     """
     def nodes(df: DataFrame) -> DataFrame:
         rows = kg.field_rows(df, "document_id", "text", "filename")
         found = kg.document_nodes(rows, kg.extract_facts(rows, mapping))
-        return found.join(df.select("document_id", "created_at"), "document_id")
+        found = found.join(df.select("document_id", "created_at"), "document_id")
+        return found.withColumn("source_document_id", F.col("document_id"))
 
     log.run(documents, prepare=nodes)
-    rows = log.read().withColumn("source_document_id", F.col("document_id"))
-    return kg.upsert_entities(rows, ["created_at", "document_id"])
+    return kg.upsert_entities(log.read(), ["created_at", "document_id"])
+
+
+def entity_log(spark, purpose: str, path: str | None = None) -> MergedLog:
+    """A log for :func:`entity_upserts` that condenses node rows as batches arrive."""
+    return MergedLog(spark, purpose, lambda rows: kg.condense_nodes(rows, ["created_at", "document_id"]), path)
 
 
 def cache_inserts(entries: DataFrame, log: BatchLog, ttl_seconds: int, as_of: Column | None = None) -> DataFrame:
