@@ -198,22 +198,32 @@ def with_statistics(docs: DataFrame, keep: list[str], text: str = "text") -> Dat
     return rows.mapInArrow(work, shape)
 
 
-def train(rows: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id",
-          most_rows: int = 20_000, **options) -> Forest:
-    """Fit on at most ``most_rows`` labelled rows that are not held out: those of smallest key hash.
-
-    ``rows`` has ``key`` and ``statistics``.  Only labels 0 and 1 count; a key
-    labelled twice counts with its larger label, and a repeated key with one of
-    its rows.
+def labelled(keys: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id",
+             most_rows: int = 20_000) -> DataFrame:
+    """(_key, _label, _order) of the learning keys that occur in ``keys``, about ``most_rows`` of them or all.
+
+    Only labels 0 and 1 count, and none of held-out keys; a key labelled twice
+    counts with its larger label.  The keys are counted first, and a bound on
+    their hash leaves a fifth and 1000 more than ``most_rows``, so the number
+    that any later step sees does not grow with the tables.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key)))
     known = known.groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_label"))
-    chosen = (
-        rows.join(known, F.col(key) == F.col("_key"))
-        .select("_key", "_label", "statistics", F.xxhash64("_key").alias("_order"))
-        .orderBy("_order", "_key", F.col("statistics")).limit(most_rows).select("_key", "_label", "statistics")
-    )
-    pulled = chosen.toPandas().drop_duplicates("_key").sort_values("_key")  # bounded by most_rows
+    met = keys.select(F.col(key).alias("_key")).distinct().join(known, "_key").withColumn("_order", F.xxhash64("_key"))
+    share = min(1.0, (1.2 * most_rows + 1000) / max(1, met.count()))
+    bound = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+    return met.filter(F.col("_order") <= bound)
+
+
+def train(rows: DataFrame, chosen: DataFrame, key: str = "doc_id", most_rows: int = 20_000, **options) -> Forest:
+    """Fit on the at most ``most_rows`` keys of smallest hash among the ``chosen`` ones.
+
+    ``rows`` has ``key`` and ``statistics``; a repeated key counts with the
+    smallest of its rows' statistics.  What is collected is bounded by :func:`labelled`.
+    """
+    met = rows.select(F.col(key).alias("_key"), "statistics").join(F.broadcast(chosen), "_key")
+    pulled = met.groupBy("_key", "_label", "_order").agg(F.min("statistics").alias("statistics")).toPandas()
+    pulled = pulled.sort_values(["_order", "_key"]).head(most_rows).sort_values("_key")
     x = np.array(pulled["statistics"].tolist(), np.float32).reshape(-1, len(STATISTICS))
     return fit(x, pulled["_label"].to_numpy(np.float64), **options)
 
@@ -230,7 +240,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
     """
     keep = list(dict.fromkeys([key, *(keep or [])]))
     rows = stage(with_statistics(docs, keep, text), "statistics")
-    forest = train(rows, labels, key=key, **options)
+    forest = train(rows, labelled(rows, labels, key=key), key, **options)
 
     @F.pandas_udf("double")
     def score(values):
@@ -247,10 +257,13 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: st
              **options) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``threshold``, with all their columns.
 
-    Statistics are staged without texts to fit the forest and made again where
-    the rows are filtered, so no text is shuffled or written.
+    To fit the forest, statistics are made of the learning rows alone; those of
+    all rows are made where the rows are filtered, so no text is shuffled or
+    written.
     """
-    forest = train(stage(with_statistics(docs, [key], text), "statistics"), labels, key=key, **options)
+    chosen = stage(labelled(docs, labels, key=key), "chosen")
+    learning = docs.select(key, text).join(F.broadcast(chosen.select(F.col("_key").alias(key))), key, "left_semi")
+    forest = train(with_statistics(learning, [key], text), chosen, key, **options)
     at = docs.columns.index(text)
 
     def work(batches):
