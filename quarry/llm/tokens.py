@@ -3,7 +3,8 @@
 A text's tokens never reach across the place where a space or line break
 follows a visible character, so texts are cut there, equal pieces are encoded
 once by the tokenizers library, and the ids are put together again.  Texts with
-any other white space, or with runs of it, are encoded as they are.
+any other white space, with runs of it, or with the string of a special token
+are encoded as they are.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # one id each, also in a text
         names = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(names.values()) + 1, bool)  # ids that can begin a piece
         for name, i in names.items():
@@ -91,6 +92,8 @@ class Encoder:
         odd = pc.or_(pc.match_substring_regex(words, r"^\n?$"),
                      pc.match_substring_regex(words, r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
                                                      r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"))
+        for name in self.special:
+            odd = pc.or_(odd, pc.match_substring(words, name))
         odd = odd.to_numpy(zero_copy_only=False)
         first = lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
         bad = odd[index]
