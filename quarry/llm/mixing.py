@@ -56,7 +56,7 @@ def mix(docs: DataFrame, shares: dict[str, int], block_rows: int = 8, source: st
     and ``position``.  Equal keys are ordered by ``ties``; null keys come
     first; rows alike in all of these are interchangeable.  An empty table
     gives no rows.  A column of ``docs`` that is called like an added one is
-    replaced by it.
+    replaced by it; others come back as they are, whatever their names.
     """
     spark = docs.sparkSession
     weights = {k: v for k, v in shares.items() if k != OTHER}
@@ -64,10 +64,12 @@ def mix(docs: DataFrame, shares: dict[str, int], block_rows: int = 8, source: st
     if min(parts_of) < 1:
         raise ValueError("target weights are whole numbers from 1")
     total = sum(parts_of)
-    added = ("queue", "block", "release", "due", "slot", "position", "_part", "_at")
+    added = ("queue", "block", "release", "due", "slot", "position")
     columns = [c for c in (keep if keep is not None else docs.columns) if c not in added]
-    rows = docs.select(*dict.fromkeys([*columns, key, *ties]), _queue(F.col(source), names).alias("queue"))
-    parts = ordered_parts(rows, "queue", key, *ties, purpose="mix")
+    order = [F.col(c).alias(f"_order{i}") for i, c in enumerate((key, *ties))]
+    # The columns travel as one value, so none meets a column of the schedule.
+    rows = docs.select(F.struct(*columns).alias("row"), *order, _queue(F.col(source), names).alias("queue"))
+    parts = ordered_parts(rows, "queue", *[f"_order{i}" for i in range(len(order))], purpose="mix")
     sizes = dict(parts.groupBy("queue").count().collect())  # one number for each given weight
     counts = ", ".join(f"{sizes.get(i, 0)}L" for i in range(len(parts_of)))
     share = f"array({', '.join(f'{a}L' for a in parts_of)})"
@@ -80,7 +82,7 @@ def mix(docs: DataFrame, shares: dict[str, int], block_rows: int = 8, source: st
     earlier = f"""aggregate(zip_with(zip_with(before, {share}, (b, a) -> {block_rows} * (_round * a + b)),
         array({counts}), (x, n) -> least(x, n)), 0L, (x, y) -> x + y)"""
     return placed.select(
-        *columns, "queue", "block",
+        *[F.col("row")[c].alias(c) for c in columns], "queue", "block",
         F.expr(f"(block * {total}) div {share}[queue]").alias("release"),
         F.expr(f"((block + 1) * {total} + {share}[queue] - 1) div {share}[queue]").alias("due"),
         F.expr(f"_round * {total} + at").alias("slot"),
