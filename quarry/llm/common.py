@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,41 @@ from pyspark.sql import functions as F
 
 from quarry.session import shared_dir
 
-_FOLDERS: dict[str, list[str]] = {}
+_OWNER: ContextVar[Folders | None] = ContextVar("owner", default=None)
+
+
+class Folders:
+    """The folders that are staged while this owner collects them, and nobody else's.
+
+    Folders staged outside any owner are never deleted here.
+    """
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    @contextmanager
+    def collecting(self):
+        """Within, this thread's staged folders are this owner's; what it still has at the end goes to the owner around it."""
+        outer, token = _OWNER.get(), _OWNER.set(self)
+        try:
+            yield self
+        finally:
+            _OWNER.reset(token)
+            if outer is not None and outer is not self:
+                outer.paths.extend(self.paths)
+                self.paths = []
+
+    def release(self, spark: SparkSession, needed: DataFrame | None = None) -> None:
+        """Delete this owner's folders, but for those that ``needed`` reads; call it when nothing else is to read them."""
+        files = needed.inputFiles() if needed is not None else []
+        inside = lambda path: any(path.split("://")[-1].split(":")[-1].lstrip("/") in f for f in files)
+        mine, self.paths = self.paths, []
+        for path in mine:
+            if inside(path):
+                self.paths.append(path)
+            else:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def scratch(spark: SparkSession, purpose: str) -> str:
@@ -20,7 +56,9 @@ def scratch(spark: SparkSession, purpose: str) -> str:
         path = shared_dir(spark, purpose)
     else:
         path = tempfile.mkdtemp(prefix=f"quarry-{purpose}-") + "/table"
-    _FOLDERS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    owner = _OWNER.get()
+    if owner is not None:
+        owner.paths.append(path)
     return path
 
 
@@ -31,24 +69,12 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def staged(spark: SparkSession) -> int:
-    """Number of folders this session has staged and not deleted."""
-    return len(_FOLDERS.get(spark.sparkContext.applicationId, []))
-
-
-def release(spark: SparkSession, needed: DataFrame | None = None, since: int = 0) -> None:
-    """Delete the folders this session staged after the first ``since``, but for those that ``needed`` reads.
-
-    Call it when nothing else that reads them is still to run.
-    """
-    app = spark.sparkContext.applicationId
-    files = needed.inputFiles() if needed is not None else []
-    inside = lambda path: any(path.split("://")[-1].split(":")[-1].lstrip("/") in f for f in files)
-    folders = _FOLDERS.pop(app, [])
-    _FOLDERS[app] = folders[:since] + [f for f in folders[since:] if inside(f)]
-    for path in set(folders) - set(_FOLDERS[app]):
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def width(spark: SparkSession) -> int:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import stage
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) of every linked node; the component is its smallest node.
 
     ``links`` has columns a and b.  Alternating large and small stars (each
@@ -19,7 +19,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     links = stage(_clean(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "links")
     mark = _mark(links)
-    for _ in range(rounds):
+    while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: larger neighbours go to the smallest neighbour
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
@@ -32,8 +32,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         last, mark = mark, _mark(links)
         if last == mark:
             break
-    else:
-        raise RuntimeError("components have not settled")
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import release, stage, staged, width
+from quarry.llm.common import Folders, stage, width
 from quarry.llm.components import components
 from quarry.llm.partenum import blocks, groups_of, linked, tasks_of, together
 from quarry.llm.words import Words, mix, runs_of
@@ -150,7 +150,15 @@ def _compare(names: list[int], left: int, texts: list[str], least_words: int, nu
 
 def similar_paragraphs(rows: DataFrame, least_words: int, num: int, den: int) -> DataFrame:
     """``doc_id, start, end, keeper_id`` of paragraphs that are linked to one of a smaller id."""
-    before = staged(rows.sparkSession)
+    with Folders().collecting() as mine:
+        reached = _linked_paragraphs(rows, least_words, num, den)
+        mine.release(rows.sparkSession, reached)  # the components are written; nothing reads the rest again
+    return reached.filter("node <> component").select(
+        "node.doc_id", "node.start", "node.end", F.col("component.doc_id").alias("keeper_id")).filter("doc_id <> keeper_id")
+
+
+def _linked_paragraphs(rows: DataFrame, least_words: int, num: int, den: int) -> DataFrame:
+    """(node, component) of the linked paragraphs, each (doc_id, start, end)."""
 
     def sign(batches):
         for batch in batches:
@@ -187,10 +195,7 @@ def similar_paragraphs(rows: DataFrame, least_words: int, num: int, den: int) ->
 
     shape = "struct<doc_id: long, start: long, end: long>"
     near = blocks(groups_of(pairs), contents).mapInArrow(compare, f"a {shape}, b {shape}")
-    reached = components(near.unionByName(equal))
-    release(rows.sparkSession, reached, since=before)  # the components are written; nothing reads the rest again
-    return reached.filter("node <> component").select(
-        "node.doc_id", "node.start", "node.end", F.col("component.doc_id").alias("keeper_id")).filter("doc_id <> keeper_id")
+    return components(near.unionByName(equal))
 
 
 def _shared_anchors(rows: DataFrame) -> DataFrame:
@@ -370,7 +375,7 @@ def remove(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "
 
     ``n_chars`` is set anew where a text was cut, if there is such a column.
     """
-    cuts = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("_cuts"))
+    cuts = spans.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
 
     @F.pandas_udf("string")
     def cut(texts, lists):
@@ -379,11 +384,18 @@ def remove(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "
         return pd.Series([t if c is None or t is None else without(t, [(x["start"], x["end"]) for x in c])
                           for t, c in zip(texts, lists, strict=True)], dtype=object)
 
-    joined = docs.join(cuts.hint("merge"), F.col(key) == F.col("_id"), "left")
-    done = joined.withColumn("_cut", F.col("_cuts").isNotNull()).withColumn(
-        text, F.when(F.col("_cut"), cut(F.col(text), F.col("_cuts"))).otherwise(F.col(text)))
-    done = done.filter(~F.col("_cut") | (F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0))
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("_cut"), F.char_length(text).cast(docs.schema["n_chars"].dataType))
-                               .otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key"))  # no column meets another's name
+    joined = rows.join(cuts.hint("merge"), F.col("key") == F.col("id"), "left")
+    old, changed = F.col("row")[text], F.col("cuts").isNotNull()
+    done = joined.select("row", changed.alias("changed"), F.when(changed, cut(old, F.col("cuts"))).otherwise(old).alias("text"))
+    done = done.filter(~F.col("changed") | (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0))
+
+    def column(name):
+        if name == text:
+            return F.col("text").alias(name)
+        if name == "n_chars":
+            size = F.char_length("text").cast(docs.schema[name].dataType)
+            return F.when(F.col("changed"), size).otherwise(F.col("row")[name]).alias(name)
+        return F.col("row")[name].alias(name)
+
+    return done.select(*map(column, docs.columns))
