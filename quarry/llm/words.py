@@ -12,7 +12,7 @@ import pyarrow as pa
 
 from quarry.llm.common import slices, text_buffer
 
-SLICE = 1_000_000  # bytes of text hashed at a time
+SLICE = 250_000  # bytes of text hashed at a time
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
