@@ -211,10 +211,14 @@ def blocks(members: DataFrame, contents: DataFrame) -> DataFrame:
     the columns carried, those of a task together.
     """
     weights = contents.select(F.col("node").alias("member"), F.expr(f"1 + weight div {WEIGHT}").alias("_w"))
-    counts = members.join(weights.hint("merge"), "member").groupBy("center").agg(
-        F.ceil(F.sum("_w") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(counts.hint("merge"), "center").withColumn(
-        "own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    # a center's members travel by (center, hash), so that no task meets a large group whole
+    dealt = members.withColumn("_hash", F.xxhash64("member")).withColumn(
+        "_share", F.pmod("_hash", F.lit(width(members.sparkSession))).cast("int"))
+    shares = dealt.join(weights.hint("merge"), "member").groupBy("center", "_share").agg(F.sum("_w").alias("_w"))
+    totals = shares.groupBy("center").agg(F.ceil(F.sum("_w") / BLOCK).cast("int").alias("blocks"))
+    counts = shares.select("center", "_share").join(totals.hint("merge"), "center")
+    dealt = dealt.join(counts.hint("merge"), ["center", "_share"]).withColumn(
+        "own", F.pmod(F.shiftright("_hash", 20), F.col("blocks")).cast("int"))
     placed = dealt.select("member", "center", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = placed.select("member", "center", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
                            (F.col("own") > F.col("other")).cast("int").alias("side"))
