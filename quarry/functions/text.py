@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 # White space as Unicode defines it, line ends, word characters.
 SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -174,6 +175,26 @@ def trim_list(a: Column, max_chars: int = 4000, max_items: int = 50) -> Column:
     return F.transform(F.slice(a, 1, max_items), lambda v: trim_string(v, max_chars))
 
 
+def trim_nested(c: Column, kind: DataType, max_chars: int = 4000, max_items: int = 50, max_keys: int = 80) -> Column:
+    """A payload of type ``kind`` with strings, lists and maps cut at every depth.
+
+    The expression follows the type, so values stay in the JVM.  Map keys are
+    whole; a struct keeps its first ``max_keys`` fields; null stays null.
+    """
+    inner = lambda v, t: trim_nested(v, t, max_chars, max_items, max_keys)
+    if isinstance(kind, StringType):
+        return trim_string(c, max_chars)
+    if isinstance(kind, ArrayType):
+        return F.transform(F.slice(c, 1, max_items), lambda v: inner(v, kind.elementType))
+    if isinstance(kind, MapType):
+        kept = F.map_from_entries(F.slice(F.map_entries(c), 1, max_keys))
+        return F.transform_values(kept, lambda _, v: inner(v, kind.valueType))
+    if isinstance(kind, StructType):
+        fields = [inner(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields[:max_keys]]
+        return F.when(c.isNotNull(), F.struct(*fields)) if fields else c
+    return c
+
+
 def file_stem(name: Column) -> Column:
     """File name without folders and last extension."""
     base = F.regexp_replace(name, r"^.*/", "")

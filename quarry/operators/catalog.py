@@ -143,6 +143,11 @@ def keep_newest(df: DataFrame, n: int, order: str, key: str) -> DataFrame:
     return df.orderBy(F.col(order).desc(), F.col(key).desc()).limit(n)
 
 
+def cap_traces(traces: DataFrame, max_traces: int = 5000) -> DataFrame:
+    """Newest ``max_traces`` traces by start; equal starts go to the larger id."""
+    return keep_newest(traces, max_traces, "started_at", "trace_id")
+
+
 def request_log(traces: DataFrame, spans: DataFrame, n: int = 50, max_spans: int = 20) -> DataFrame:
     """Newest requests with their first spans.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import is_hex_trace_id, trim_string
+from quarry.functions.text import first_nonempty, is_hex_trace_id, trim_nested, trim_string
 from quarry.operators.ordered import previous
 from quarry.operators.ranking import top_k
 
@@ -67,6 +67,46 @@ def trace_records(events: DataFrame) -> DataFrame:
     return head.join(packed, "trace_id").join(steps, "trace_id", "left")
 
 
+def traced_steps(events: DataFrame) -> DataFrame:
+    """Last steps of each trace with what they called and the payload they carried.
+
+    ``events`` has the columns of ``trace_records`` and span_id, action, tool,
+    subtask_id, action_input (a map or struct, or null) and status.  The action
+    is the first of action, tool and subtask_id that is not empty, the phase
+    the first of phase, subtask_id and the event's name; a step without status
+    has failed if it has an error.
+    """
+    kind = events.schema
+    one = lambda *names: F.nullif(first_nonempty(F.array(*[F.col(n).cast("string") for n in names])), F.lit(""))
+    steps = events.filter(F.col("name").isin(*STEP_NAMES))
+    counts = steps.groupBy("trace_id").agg(F.count("*").alias("_n"))
+    last = top_k(steps, ["trace_id"], [F.col("ts").desc(), F.col("event_id").desc()], MAX_STEPS, "_r")
+    failed = F.coalesce(F.col("error") != "", F.lit(False))
+    raw = trim_nested(F.col("payload"), kind["payload"].dataType)
+    return last.join(counts, "trace_id").select(
+        "trace_id", (F.col("_n") - F.col("_r") + 1).alias("index"), "ts", one("phase", "subtask_id", "name").alias("phase"),
+        F.coalesce(one("status"), F.when(failed, "error").otherwise("success")).alias("status"),
+        one("action", "tool", "subtask_id").alias("action"), "action_input", "duration_ms",
+        trim_string(F.col("error")).alias("error"), "span_id", raw.alias("raw"))
+
+
+def trace_origins(events: DataFrame) -> DataFrame:
+    """Root span, mode and intent of each trace.
+
+    ``events`` has (trace_id, event_id, ts, name, span_id, mode, intent).  They
+    come from the first ``span.start``; a trace without one has the span of its
+    first event, no intent, and like one that names no mode the mode ``react``.
+    """
+    at = F.struct("ts", "event_id")
+    opened = F.when(F.col("name") == "span.start", at)
+    found = events.groupBy("trace_id").agg(
+        F.max(F.col("name") == "span.start").alias("_opened"), F.min_by("span_id", opened).alias("_root"),
+        F.min_by("span_id", at).alias("_first"), F.min_by("mode", opened).alias("_mode"),
+        F.min_by("intent", opened).alias("intent"))
+    return found.select("trace_id", F.when(F.col("_opened"), F.col("_root")).otherwise(F.col("_first")).alias("root_span_id"),
+                        F.coalesce(F.nullif("_mode", F.lit("")), F.lit("react")).alias("mode"), "intent")
+
+
 def trace_steps(records: DataFrame) -> DataFrame:
     """Steps only, one row each."""
     return records.select("trace_id", F.explode("steps").alias("s")).select("trace_id", "s.*")

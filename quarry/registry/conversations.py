@@ -208,6 +208,58 @@ def payload_trim(spark, sf):
     return d.select("doc_id", F.md5(m["a"]).alias("digest"), tx.trim_list(items, 3)[0].alias("first_item"), F.size(m).alias("n_keys"))
 
 
+@query("F18", """WITH d AS (SELECT doc_id, string_split(text, chr(10))[:50] AS parts, lang, source FROM documents),
+c AS (SELECT *, list_transform(parts, lambda p: CASE WHEN length(p) > 4000 THEN substr(p, 1, 4000) || '...[truncated]' ELSE p END) AS cut FROM d)
+SELECT doc_id, len(cut) AS n_parts, md5(array_to_string(cut, chr(10))) AS parts_digest,
+md5(cut[len(cut)]) AS last_digest, source AS origin FROM c""")
+def payload_nested(spark, sf):
+    """Nested payloads of documents, cut at every depth: a map of structs with lists of strings."""
+    d = table(spark, sf, "documents")
+    body = F.struct(F.split("text", "\n", -1).alias("parts"), F.struct("lang", "source").alias("from"))
+    d = d.select("doc_id", F.create_map(F.lit("body"), body).alias("payload"))
+    cut = tx.trim_nested(F.col("payload"), d.schema["payload"].dataType)
+    parts = F.col("cut")["body"]["parts"]
+    return d.select("doc_id", cut.alias("cut")).select(
+        "doc_id", F.size(parts).cast("long").alias("n_parts"), F.md5(F.array_join(parts, "\n")).alias("parts_digest"),
+        F.md5(F.element_at(parts, -1)).alias("last_digest"), F.col("cut")["body"]["from"]["source"].alias("origin"))
+
+
+def detailed_events(spark, sf):
+    """Trace events with spans and what their steps called."""
+    e = trace_events(spark, sf)
+    n = F.col("event_id")
+    return e.withColumns({
+        "span_id": n, "mode": F.when(n % 3 == 0, "plan").when(n % 3 == 1, ""), "intent": F.when(n % 2 == 0, F.col("phase")),
+        "action": F.when(n % 4 == 0, "").when(n % 4 == 1, "search"), "tool": F.when(n % 5 < 3, "calc"),
+        "subtask_id": F.concat(F.lit("t"), (n % 7).cast("string")), "status": F.when(n % 6 == 0, "skipped"),
+        "action_input": F.create_map(F.lit("q"), F.col("payload"))})
+
+
+@query("T2", f"""WITH {TRACE_SQL}, o AS (SELECT trace_id, event_id, name, row_number() OVER (PARTITION BY trace_id ORDER BY name <> 'span.start', ts, event_id) AS rn, phase FROM ev)
+SELECT trace_id, event_id AS root_span_id, CASE WHEN name = 'span.start' AND event_id % 3 = 0 THEN 'plan' ELSE 'react' END AS mode,
+CASE WHEN name = 'span.start' AND event_id % 2 = 0 THEN phase END AS intent FROM o WHERE rn = 1""")
+def trace_origins(spark, sf):
+    """Root span, mode and intent of all traces."""
+    return traces.trace_origins(detailed_events(spark, sf))
+
+
+@query("T2 W4 F9", f"""WITH {TRACE_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY trace_id) AS total FROM st)
+SELECT trace_id, index, phase, CASE WHEN event_id % 6 = 0 THEN 'skipped' WHEN coalesce(error, '') <> '' THEN 'error' ELSE 'success' END AS status,
+CASE WHEN event_id % 4 = 1 THEN 'search' WHEN event_id % 5 < 3 THEN 'calc' ELSE 't' || event_id % 7 END AS action,
+payload AS query, duration_ms, error, event_id AS span_id, payload AS raw FROM n WHERE index > total - 100""")
+def traced_steps(spark, sf):
+    """Last steps of all traces with action, input, span and raw payload."""
+    steps = traces.traced_steps(detailed_events(spark, sf)).drop("ts")
+    return steps.withColumn("query", F.col("action_input")["q"]).drop("action_input")
+
+
+@query("W6", f"""WITH {TRACE_SQL} SELECT trace_id, session_id, epoch_us(started_at) AS started_us FROM rec ORDER BY started_at DESC, trace_id DESC LIMIT 5000""")
+def capped_traces(spark, sf):
+    """The 5000 newest traces."""
+    kept = catalog.cap_traces(traces.trace_heads(trace_events(spark, sf)))
+    return kept.select("trace_id", "session_id", F.unix_micros("started_at").alias("started_us"))
+
+
 # --- cache, labels, catalogue ---------------------------------------------------------
 
 @query("J14 F5 F6 V17", f"""WITH {HASH_COSINE_SQL}, live AS (SELECT item_id FROM benchmark WHERE item_id % 4 <> 0),
