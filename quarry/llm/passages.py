@@ -18,8 +18,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from quarry.llm.common import Folders, stage, width
 from quarry.llm.components import components
@@ -376,25 +378,28 @@ def remove(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "
     ``n_chars`` is set anew where a text was cut, if there is such a column.
     """
     cuts = spans.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
-
-    @F.pandas_udf("string")
-    def cut(texts, lists):
-        import pandas as pd
-
-        return pd.Series([t if c is None or t is None else without(t, [(x["start"], x["end"]) for x in c])
-                          for t, c in zip(texts, lists, strict=True)], dtype=object)
-
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key"))  # no column meets another's name
-    joined = rows.join(cuts.hint("merge"), F.col("key") == F.col("id"), "left")
-    old, changed = F.col("row")[text], F.col("cuts").isNotNull()
-    done = joined.select("row", changed.alias("changed"), F.when(changed, cut(old, F.col("cuts"))).otherwise(old).alias("text"))
-    done = done.filter(~F.col("changed") | (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0))
+    joined = rows.join(cuts.hint("merge"), F.col("key") == F.col("id"), "left").select("row", "cuts")
+    at = docs.columns.index(text)
+
+    def cut(batches):  # one pass of one worker; only texts with cuts become Python strings
+        for batch in batches:
+            row, lists = batch.column(0), batch.column(1)
+            parts = row.flatten()
+            changed = pc.and_(parts[at].is_valid(), lists.is_valid())
+            new = [without(parts[at][i].as_py(), [(x["start"], x["end"]) for x in lists[i].as_py()])
+                   for i in np.flatnonzero(changed.to_numpy(zero_copy_only=False)).tolist()]
+            if new:
+                parts[at] = pc.replace_with_mask(parts[at], changed, pa.array(new, parts[at].type))
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(parts, fields=list(row.type)), changed],
+                                             ["row", "changed"])
+
+    done = joined.mapInArrow(cut, StructType([joined.schema["row"], StructField("changed", BooleanType())]))
+    done = done.filter(~F.col("changed") | (F.length(F.trim(F.col("row")[text])) > 0))
 
     def column(name):
-        if name == text:
-            return F.col("text").alias(name)
         if name == "n_chars":
-            size = F.char_length("text").cast(docs.schema[name].dataType)
+            size = F.char_length(F.col("row")[text]).cast(docs.schema[name].dataType)
             return F.when(F.col("changed"), size).otherwise(F.col("row")[name]).alias(name)
         return F.col("row")[name].alias(name)
 
