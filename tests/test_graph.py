@@ -56,3 +56,15 @@ def test_relevance_without_limit_matches_sql_without_limit(spark):
     got = ranked.select("query_id", "rel_id", "rel_rank")
     assert rows_of(got.columns, got.collect()) == rows_of([c[0] for c in cur.description], cur.fetchall())
     assert ranked.filter("not complete").count() == 0
+
+
+def test_facts_are_taken_from_the_texts_once(spark):
+    """Relations and entities read staged facts; no plan of theirs takes facts from field rows again."""
+    from quarry.operators import extraction as kg
+
+    documents = spark.createDataFrame([(1, "精灵名称: a 1\n主属性: x\n技能: s、t\n生命: 5", "a.txt")],
+                                      "document_id long, text string, filename string").selectExpr("*", "timestamp_seconds(0) AS created_at")
+    entities, relations = kg.build_graph(documents, kg.mapping_table(spark))
+    for table in (entities, relations):
+        assert "Window" not in table._jdf.queryExecution().toString()
+    assert relations.count() == 4 and entities.count() == 4
