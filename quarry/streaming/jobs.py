@@ -9,6 +9,7 @@ from quarry.functions.text import normalize_text
 from quarry.operators import extraction as kg
 from quarry.operators.catalog import save_conversations
 from quarry.operators.traces import with_cost
+from quarry.session import cut_lineage
 from quarry.sources import files
 from quarry.streaming.log import BatchLog, MergedLog
 
@@ -42,11 +43,12 @@ def entity_upserts(documents: DataFrame, mapping: DataFrame, log: BatchLog) -> D
 
     Each batch appends its node rows; reading merges them by (type, name) in
     document order, whatever the order of arrival.  With :func:`entity_log` the
-    log itself keeps few folders of condensed rows.
+    log itself keeps few folders of condensed rows.  A batch's fields and facts
+    are written before they are read several times.
     """
     def nodes(df: DataFrame) -> DataFrame:
-        rows = kg.field_rows(df, "document_id", "text", "filename")
-        found = kg.document_nodes(rows, kg.extract_facts(rows, mapping))
+        rows = cut_lineage(kg.field_rows(df, "document_id", "text", "filename"), "fields")
+        found = kg.document_nodes(rows, cut_lineage(kg.extract_facts(rows, mapping), "facts"))
         found = found.join(df.select("document_id", "created_at"), "document_id")
         return found.withColumn("source_document_id", F.col("document_id"))
 

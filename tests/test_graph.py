@@ -68,3 +68,11 @@ def test_facts_are_taken_from_the_texts_once(spark):
     for table in (entities, relations):
         assert "Window" not in table._jdf.queryExecution().toString()
     assert relations.count() == 4 and entities.count() == 4
+
+
+def test_document_stats_read_staged_fields_and_facts(spark):
+    """The statistics join several readings of the same rows, and none parses the texts anew."""
+    from quarry.registry.graph import kg_doc_stats
+
+    stats = kg_doc_stats(spark, "/root/testdata/sf0.001")
+    assert "Window" not in stats._jdf.queryExecution().toString()
