@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quarry.operators.memory import add_message
@@ -66,61 +67,82 @@ def memory_stream(messages: DataFrame, window: int = 20, max_tokens: int = 4000,
         f"conversation_id {key}, index int, role string, content string", "Update", _time_mode(ttl_ms))
 
 
+TRACE_BUCKETS = 1024  # groups of traces that share one call of the processor in a trigger
+RECORD = ("session_id string, started_us long, started_id long, ended_us long, ended_id long, error string, steps_seen long, "
+          "event_us array<long>, event_id array<long>, event_name array<string>, "
+          "step_us array<long>, step_id array<long>, step_phase array<string>")
+
+
 class TraceRecord(StatefulProcessor):
     """Running record per trace with its last events and steps.
 
-    Every field goes by (time, event), so the order of arrival does not matter.
+    A call takes a bucket of traces: the state is a map of their records, each
+    read once and written once in a trigger, and the rows of all come in one
+    frame.  Every field goes by (time, event), so the order of arrival does not
+    matter.
     """
 
     def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState(
-            "head", "session_id string, started_us long, started_id long, ended_us long, ended_id long, error string, "
-                    "steps_seen long", self.ttl_ms)
-        self.events = handle.getListState("events", "us long, event_id long, name string", self.ttl_ms)
-        self.steps = handle.getListState("steps", "us long, event_id long, phase string", self.ttl_ms)
+        self.records = handle.getMapState("records", "trace_id string", RECORD, self.ttl_ms)
+
+    def _load(self, trace: str) -> dict:
+        known = self.records.getValue((trace,))
+        if known is None:
+            return {"session": None, "start": None, "end": None, "error": None, "seen": 0, "events": [], "steps": []}
+        session, started_us, started_id, ended_us, ended_id, error, seen, *lists = known
+        return {"session": session, "start": (started_us, started_id), "end": None if ended_us is None else (ended_us, ended_id),
+                "error": error, "seen": seen, "events": list(zip(*lists[:3])), "steps": list(zip(*lists[3:]))}
+
+    def _save(self, trace: str, r: dict) -> None:
+        column = lambda rows, i: [row[i] for row in rows]
+        self.records.updateValue((trace,), (
+            r["session"], *r["start"], *(r["end"] or (None, None)), r["error"], r["seen"],
+            *[column(r["events"], i) for i in range(3)], *[column(r["steps"], i) for i in range(3)]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        session, start, end, error, seen = None, None, None, None, 0
-        if self.head.exists():
-            session, started_us, started_id, ended_us, ended_id, error, seen = self.head.get()
-            start, end = (started_us, started_id), None if ended_us is None else (ended_us, ended_id)
-        events = [tuple(e) for e in self.events.get()] if self.events.exists() else []
-        steps = [tuple(s) for s in self.steps.get()] if self.steps.exists() else []
+        records = {}
         for pdf in rows:
-            for row in pdf.itertuples():
-                at = (int(row.us), int(row.event_id))
-                events.append((*at, row.name))
-                if start is None or at < start:
-                    start, session = at, row.session_id
-                if row.name == "span.end" and (end is None or at > end):
-                    end, error = at, row.error if isinstance(row.error, str) else None
-                if row.name in STEP_NAMES:
-                    seen += 1
-                    steps.append((*at, row.phase))
-            events = sorted(events, key=lambda e: e[:2])[-MAX_EVENTS:]
-            steps = sorted(steps, key=lambda s: s[:2])[-MAX_STEPS:]
-        self.head.update((session, *start, *(end or (None, None)), error, seen))
-        self.events.put(events)
-        if steps:  # an empty list is no legal state
-            self.steps.put(steps)
-        status = "running" if end is None else "failed" if error else "success"
-        duration = None if end is None else (end[0] - start[0]) // 1000
-        yield pd.DataFrame({
-            "trace_id": [key[0]], "session_id": [session], "status": [status], "started_us": [start[0]],
-            "duration_ms": pd.Series([duration], dtype="Int64"), "n_events": [len(events)], "n_steps": [len(steps)],
-            "steps_seen": [seen]})
+            touched = set()
+            for trace, session, event_id, us, name, phase, error in zip(*[pdf[c].tolist() for c in (
+                    "trace_id", "session_id", "event_id", "us", "name", "phase", "error")]):
+                if trace not in records:
+                    records[trace] = self._load(trace)
+                r, at = records[trace], (us, event_id)
+                touched.add(trace)
+                r["events"].append((*at, name))
+                if r["start"] is None or at < r["start"]:
+                    r["start"], r["session"] = at, session
+                if name == "span.end" and (r["end"] is None or at > r["end"]):
+                    r["end"], r["error"] = at, error if isinstance(error, str) else None
+                if name in STEP_NAMES:
+                    r["seen"] += 1
+                    r["steps"].append((*at, phase))
+            for trace in touched:
+                r = records[trace]
+                r["events"] = sorted(r["events"], key=lambda e: e[:2])[-MAX_EVENTS:]
+                r["steps"] = sorted(r["steps"], key=lambda s: s[:2])[-MAX_STEPS:]
+        out = []
+        for trace, r in records.items():
+            self._save(trace, r)
+            end, start = r["end"], r["start"]
+            status = "running" if end is None else "failed" if r["error"] else "success"
+            out.append((trace, r["session"], status, start[0], None if end is None else (end[0] - start[0]) // 1000,
+                        len(r["events"]), len(r["steps"]), r["seen"]))
+        names = ["trace_id", "session_id", "status", "started_us", "duration_ms", "n_events", "n_steps", "steps_seen"]
+        yield pd.DataFrame(out, columns=names).astype({"duration_ms": "Int64"})
 
     def close(self) -> None:
         pass
 
 
-def trace_stream(events: DataFrame, ttl_ms: int | None = DAY_MS) -> DataFrame:
+def trace_stream(events: DataFrame, ttl_ms: int | None = DAY_MS, buckets: int = TRACE_BUCKETS) -> DataFrame:
     """``events``: streaming (trace_id, session_id, event_id, us, name, phase, error)."""
-    rows = events.select("trace_id", "session_id", "event_id", "us", "name", "phase", "error")
-    return _keyed(rows, "trace_id").transformWithStateInPandas(
+    rows = events.select("trace_id", "session_id", "event_id", "us", "name", "phase", "error",
+                         F.pmod(F.xxhash64("trace_id"), F.lit(buckets)).alias("bucket"))
+    return _keyed(rows, "bucket").transformWithStateInPandas(
         TraceRecord(ttl_ms), "trace_id string, session_id string, status string, started_us long, duration_ms long, "
                              "n_events long, n_steps long, steps_seen long", "Update", _time_mode(ttl_ms))
 
@@ -150,7 +172,8 @@ class SessionTraces(StatefulProcessor):
         for pdf in rows:
             for trace, us in pdf.groupby("trace_id")["us"].min().items():
                 us, name = int(us), (trace,)
-                known = self.starts.getValue(name)[0] if self.starts.containsKey(name) else None
+                row = self.starts.getValue(name)
+                known = None if row is None else row[0]
                 if known is not None and known <= us:
                     continue
                 self.starts.updateValue(name, (us,))

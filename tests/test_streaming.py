@@ -66,3 +66,16 @@ def test_context_blocks_in_one_pass(spark):
     assert row.chat.startswith("[1] xxx") and len(row.chat.split("\n\n")[6]) == 504
     assert row.tool.split("\n\n")[1] == "[2] (相关度=0.50)\n" + "x" * 300
     assert row.eval == "\n".join(["x" * 300] * 5) and row.prompt.count("(id=") == 7 and len(row.prompt) > 4200
+
+
+def test_traces_of_a_bucket_share_a_call(spark, tmp_path):
+    """All traces in one bucket, in two triggers: each has its own record, and the row of a later trigger follows it."""
+    schema = "trace_id string, session_id string, event_id long, us long, name string, phase string, error string"
+    first = [(f"t{i}", f"s{i}", i, 1000 * i, "react.step", "p", None) for i in range(20)]
+    second = [(f"t{i}", "late", 100 + i, 50_000, "span.end", "p", None) for i in range(0, 20, 2)]
+    log = BatchLog(spark, "test-buckets", str(tmp_path / "log"))
+    log.run(state.trace_stream(batches(spark, tmp_path / "in", schema, first, second), None, 1), "update")
+    got = {r.trace_id: (r.session_id, r.status, r.started_us, r.duration_ms, r.n_events, r.n_steps)
+           for r in log.latest(["trace_id"]).collect()}
+    assert got == {f"t{i}": (f"s{i}", "success", 1000 * i, 50 - i, 2, 1) if i % 2 == 0 else (f"s{i}", "running", 1000 * i, None, 1, 1)
+                   for i in range(20)}
