@@ -76,3 +76,16 @@ def test_document_stats_read_staged_fields_and_facts(spark):
 
     stats = kg_doc_stats(spark, "/root/testdata/sf0.001")
     assert "Window" not in stats._jdf.queryExecution().toString()
+
+
+def test_answers_are_parsed_once(spark):
+    """Entities and relations of model answers read written items; neither parses the JSON again."""
+    from quarry.operators import extraction as kg
+
+    raw = '{"relations": [{"predicate": "p", "object": "o", "confidence": 2, "evidence": "e"}, {"predicate": "", "object": "x"}]}'
+    answers = spark.createDataFrame([(1, "a", raw), (2, "b", None)], "document_id long, name string, raw string")
+    nodes, relations = kg.merge_enrichment(answers, "document_id", "name", "raw")
+    for table in (kg.upsert_entities(nodes, ["document_id", "pos"]), relations):
+        assert "json" not in table._jdf.queryExecution().toString().lower()
+    assert [(r.predicate, r.confidence) for r in relations.collect()] == [("p", 1.0)]
+    assert [r.key for r in nodes.collect()] == ["o"]
