@@ -89,3 +89,46 @@ def test_answers_are_parsed_once(spark):
         assert "json" not in table._jdf.queryExecution().toString().lower()
     assert [(r.predicate, r.confidence) for r in relations.collect()] == [("p", 1.0)]
     assert [r.key for r in nodes.collect()] == ["o"]
+
+
+def exchanged(df):
+    """Rows with a column of the query that cross a shuffle of the plan."""
+    df.collect()
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
+
+
+def test_pairs_of_relations_do_not_travel(spark, monkeypatch):
+    """Relevance without limits: lists of hits are shuffled, not (query, relation) pairs; ranges, blocks and ties are whole."""
+    monkeypatch.setattr(graph, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(graph, "PART_PAIRS", 150)
+    entities, relations = star(spark, 200)
+    queries = spark.createDataFrame([(q, f"hub one {q}") for q in "abcde"], "query_id string, text string")
+    matched = spark.createDataFrame([(q, x, r) for q in "abcde" for x, r in (("hub", 2), ("leaf7", 1), ("one", 3))],
+                                    "query_id string, id string, entity_rank int")
+    asked = graph.numbered(queries)
+    ranked = graph.ranked_relations(asked, matched, relations, entities)
+    pairs = graph.scored_pairs(ranked, asked).select("query_id", "rel_id", "rel_rank", "subject_name", "object_name")
+    assert not any("query_id" in line or "q#" in line for line in exchanged(pairs))
+    want = ["r007"] + [f"r{i:03}" for i in range(200) if i != 7] + ["x"]
+    rows = sorted((r.query_id, r.rel_rank, r.rel_id) for r in pairs.collect())
+    assert rows == [(q, i, x) for q in "abcde" for i, x in enumerate(want)]
+    assert {(r.rel_id, r.subject_name, r.object_name) for r in pairs.collect()} >= {("x", "one", "two"), ("r003", "leaf3", "hub")}
+
+
+def test_a_relation_without_known_subject_keeps_its_rank(spark):
+    entities, relations = star(spark, 3)
+    queries = spark.createDataFrame([("a", "hub")], "query_id string, text string")
+    matched = spark.createDataFrame([("a", "hub", 1)], "query_id string, id string, entity_rank int")
+    asked = graph.numbered(queries)
+    ranked = graph.ranked_relations(asked, matched, relations, entities.filter("id <> 'leaf1'"))
+    got = [(r.rel_id, r.rel_rank) for r in graph.scored_pairs(ranked, asked).orderBy("rel_rank").collect()]
+    assert got == [("r000", 0), ("r002", 2)]
+
+
+def test_nothing_matched_ranks_nothing(spark):
+    entities, relations = star(spark, 3)
+    queries = spark.createDataFrame([("a", "zz")], "query_id string, text string")
+    matched = spark.createDataFrame([], "query_id string, id string, entity_rank int")
+    asked = graph.numbered(queries)
+    assert graph.scored_pairs(graph.ranked_relations(asked, matched, relations, entities), asked).collect() == []
+    assert graph.query_relations(queries, matched, relations).collect() == []
