@@ -132,3 +132,22 @@ def test_nothing_matched_ranks_nothing(spark):
     asked = graph.numbered(queries)
     assert graph.scored_pairs(graph.ranked_relations(asked, matched, relations, entities), asked).collect() == []
     assert graph.query_relations(queries, matched, relations).collect() == []
+
+
+def test_context_sums_pairs_where_their_document_is(spark):
+    """Best documents without limits: no shuffle deals scored pairs, and scores equal those of all scored facts."""
+    from pyspark.sql import functions as F
+
+    entities, relations = star(spark, 30)
+    relations = relations.withColumn("source_document_id", F.length("subject_id").cast("long"))
+    queries = spark.createDataFrame([("a", "hub leaf3 in"), ("b", "one")], "query_id string, text string")
+    matched = cut_lineage(graph.mentions(queries, entities, None), "matched")
+    asked = graph.numbered(queries)
+    ranked = graph.ranked_relations(asked, matched, relations, entities)
+    best = graph.best_documents(ranked, asked, matched, 10)
+    dealt = exchanged(best)
+    assert any("document_id" in line for line in dealt) and not any(
+        "query_id" in line and "document_id" in line for line in dealt)
+    want = graph.document_scores(graph.scored_pairs(ranked, asked), matched)
+    key = lambda df: {(r.query_id, r.document_id): round(r.kg_score, 6) for r in df.collect()}
+    assert key(best) == key(want) and len(key(want)) >= 3
