@@ -151,3 +151,36 @@ def test_context_sums_pairs_where_their_document_is(spark):
     want = graph.document_scores(graph.scored_pairs(ranked, asked), matched)
     key = lambda df: {(r.query_id, r.document_id): round(r.kg_score, 6) for r in df.collect()}
     assert key(best) == key(want) and len(key(want)) >= 3
+
+
+def test_whole_neighbourhood_of_triangles_loops_and_several_roots(spark, monkeypatch):
+    """Each edge within two hops once, whatever its ends; pairs of the second hop cross no shuffle."""
+    import random
+
+    monkeypatch.setattr(graph, "EDGE_BLOCK", 3)
+    pick = random.Random(3)
+    nodes = [f"n{i}" for i in range(14)]
+    edges = [(f"r{i:03}", pick.choice(nodes), pick.choice([*nodes, None])) for i in range(40)]
+    entities = spark.createDataFrame([(x, "spirit", x, x, 7) for x in nodes],
+                                     "id string, type string, normalized_name string, name string, source_document_id long")
+    relations = spark.createDataFrame(
+        [(i, s, "in", o, "text" if int(i[1:]) % 2 else None, None, None, None, 7, 1.0, "rule") for i, s, o in edges],
+        "id string, subject_id string, predicate string, object_id string, value_text string, value_number double,"
+        "value_min double, value_max double, source_document_id long, confidence double, extractor string")
+    rooted = [(f"q{i}", nodes[i]) for i in range(10)] + [("q0", nodes[5]), ("q1", nodes[1]), ("none", "nowhere")]
+    roots = spark.createDataFrame(rooted, "query_id string, id string")
+    want = set()
+    for q in {q for q, _ in rooted}:
+        mine = {x for p, x in rooted if p == q}
+        first = {i for i, s, o in edges if s in mine or o in mine}
+        around = {x for i, s, o in edges if i in first for x in (s, o) if x}
+        for i, s, o in edges:
+            if (i in first or s in around or o in around) and (o or int(i[1:]) % 2):
+                want.add((q, i, 1 if i in first else 2, s, o or f"value:{i}"))
+    found = graph.neighbourhood(roots, entities, relations, 2)
+    rows = [(r.query_id, r.rel_id, r.hop, r.source, r.target) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    # What follows the join of nodes and edges neither makes pairs distinct nor shuffles them.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joined = plan[:plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert "SortMergeJoin [node" in joined and "HashAggregate(keys=[query_id" not in joined.split("SortMergeJoin [node")[0]
