@@ -184,3 +184,15 @@ def test_whole_neighbourhood_of_triangles_loops_and_several_roots(spark, monkeyp
     plan = found._jdf.queryExecution().executedPlan().toString()
     joined = plan[:plan.index("Initial Plan")] if "Initial Plan" in plan else plan
     assert "SortMergeJoin [node" in joined and "HashAggregate(keys=[query_id" not in joined.split("SortMergeJoin [node")[0]
+
+
+def test_relevance_takes_from_a_pair_only_what_needs_both(spark):
+    """Bonus by predicate and extractor stand below the pairs; the sum is that of V12."""
+    assert "主属性" not in str(graph.relevance()) and "llm" not in str(graph.relevance())
+    rows = spark.createDataFrame([("fire cat", "拥有技能", None, "burn", "llm", 0.5, 2)],
+                                 "subject_name string, predicate string, object_name string, value_text string,"
+                                 "extractor string, confidence double, rel_rank int")
+    asked = spark.createDataFrame([("a", " fire burn 技能 x")], "query_id string, text string")
+    got = graph._with_sides(rows).crossJoin(graph._with_terms(asked)).select(graph.relevance().alias("r")).first().r
+    # Terms fire, burn, 技能 and, joined, fireburn技能x; the object stands in the query.
+    assert round(got, 9) == round(1 / 1.4 + 1.4 + 0.25 + 0.35 + 0.3 + 0.45 + 0.6 + 0.025, 9)
