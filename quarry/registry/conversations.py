@@ -267,7 +267,7 @@ r AS (SELECT id AS query_id, query_id AS entry_id, score, row_number() OVER (PAR
 SELECT r.query_id, entry_id, round(score, 6) AS similarity, 'answer ' || entry_id AS value FROM r WHERE rn = 1 AND score >= 0.9""")
 def cache_lookup(spark, sf):
     """Documents looked up in a cache of benchmark texts; a quarter has expired."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "text", hash_embedding(F.col("text")).alias("vec"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "text", tx.normalize_text(F.col("text")).alias("vec"))
     b = table(spark, sf, "benchmark")
     entries = b.select(F.col("item_id").alias("entry_id"), F.col("text").alias("query_text"),
                        F.concat(F.lit("answer "), F.col("item_id").cast("string")).alias("value"), hash_embedding(F.col("text")).alias("vec"),

@@ -11,7 +11,7 @@ from quarry.operators.ranking import top_k
 from quarry.plans import retrieval as plan
 from quarry.plans.scoring import score_in_batches
 from quarry.registry.catalog import query, table
-from quarry.registry.search import HASH_COSINE_SQL, bm25_sql, text_vectors, top_sql
+from quarry.registry.search import HASH_COSINE_SQL, bm25_sql, normal_texts, top_sql
 from quarry.session import cut_lineage
 
 
@@ -159,7 +159,7 @@ def keyword_search(spark, sf):
 
 
 def vector_search(spark, sf):
-    docs = text_vectors(table(spark, sf, "documents"), "doc_id")
+    docs = normal_texts(table(spark, sf, "documents"), "doc_id")
     return lambda q, k: dense.dense_topk(docs, q.select("query_id", hash_embedding(F.col("text")).alias("vec")), k,
                                          "cosine", "id", "vec", "query_id", "vec")
 
