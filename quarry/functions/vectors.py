@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from quarry.functions.text import normalize_text
 
 HASH_DIM = 256
-CHARS_AT_ONCE, ROWS_AT_ONCE = 1 << 20, 2048  # bytes and texts whose characters are laid out at once
+CHARS_AT_ONCE, ROWS_AT_ONCE = 1 << 17, 2048  # bytes and texts whose characters are laid out at once
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,17 +56,37 @@ def text_slices(lengths: np.ndarray) -> list[tuple[int, int]]:
 def hash_vectors(texts: pa.Array) -> np.ndarray:
     """Counts of hashed adjacent characters of every text, unit length; a null is a text without characters."""
     counts = np.zeros((len(texts), HASH_DIM))
-    for low, high in text_slices(pc.binary_length(texts.fill_null("")).to_numpy()):
-        part = [t or "" for t in texts.slice(low, high - low).to_pylist()]
-        codes = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).astype(np.uint8)  # HASH_DIM divides 2 ** 8
-        owner = np.repeat(np.arange(high - low), [len(t) for t in part])
-        same = owner[:-1] == owner[1:]
-        key = owner[:-1][same] * HASH_DIM + (codes[:-1] * np.uint8(31) + codes[1:])[same]
-        counts[low:high] = np.bincount(key, minlength=(high - low) * HASH_DIM).reshape(-1, HASH_DIM)
-    length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+    texts = texts.fill_null("")
+    chars = pc.utf8_length(texts).to_numpy().astype(np.int64)
+    for low, high in text_slices(pc.binary_length(texts).to_numpy()):
+        codes, edges = _low_bytes(texts.slice(low, high - low)), np.cumsum(chars[low:high])
+        if not len(codes):
+            continue
+        key = np.repeat(np.arange(high - low) * HASH_DIM, chars[low:high])
+        key[:-1] += codes[:-1] * np.uint8(31) + codes[1:]  # HASH_DIM is 2 ** 8, the sum a byte
+        found = np.bincount(key, minlength=(high - low) * HASH_DIM)
+        found[key[edges[chars[low:high] > 0] - 1]] -= 1  # the last character of a text has no next one
+        counts[low:high] = found.reshape(-1, HASH_DIM)
+    length = np.sqrt(np.einsum("ij,ij->i", counts, counts))[:, None]
     return np.divide(counts, length, out=counts, where=length > 0)
 
 
+def _low_bytes(texts: pa.Array) -> np.ndarray:
+    """The last 8 bits of every character's number, of all texts in a row; the texts are not null."""
+    if pa.types.is_string_view(texts.type):
+        texts = texts.cast(pa.string())
+    wide = pa.types.is_large_string(texts.type)
+    edges = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0]:edges[-1]]
+    beyond = data >= 0x80
+    if not beyond.any():
+        return data
+    # In UTF-8 they are the last six bits of a character's last two bytes: two and six of them.
+    last = np.append((data[1:] & 0xC0) != 0x80, True)
+    before = np.append(np.uint8(0), data[:-1])
+    return np.where(beyond, ((before & 3) << 6) | (data & 0x3F), data)[last]
+
+
 @F.arrow_udf(ArrayType(DoubleType()))
 def embedded(texts: pa.Array) -> pa.Array:
     """:func:`hash_embedding` of texts that are normalised."""

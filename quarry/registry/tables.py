@@ -13,7 +13,7 @@ from quarry.registry.catalog import query
 from quarry.registry.documents import DOC_SQL, _cases, doc_table, line_chunks
 from quarry.registry.graph import PART_SQL, part_documents
 from quarry.registry.search import hash_vec_sql
-from quarry.session import shared_dir
+from quarry.session import cut_lineage, shared_dir
 from quarry.sources import files
 from quarry.sources.versions import VersionedTable
 
@@ -49,7 +49,7 @@ SELECT document_id::VARCHAR AS document_id, chunk_index::INTEGER AS chunk_index,
   coalesce(filled, 0) AS filled, coalesce(total, 0) AS total FROM l LEFT JOIN n ON n.id = document_id || chr(0) || chunk_index""")
 def vector_rebuild(spark, sf):
     """The vector table rebuilt from documents and chunks: a stale part first, then all of it twice."""
-    target, rows = VersionedTable(spark, shared_dir(spark, "rebuilt")), _vector_input(spark, sf)
+    target, rows = VersionedTable(spark, shared_dir(spark, "rebuilt")), cut_lineage(_vector_input(spark, sf), "vector-input")
     stale = rows.filter(F.col("document_id") % 5 == 0).withColumn("content", F.lit("stale"))
     files.rebuild_vectors(stale, hash_embedding, target)
     for _ in range(2):

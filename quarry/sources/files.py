@@ -17,6 +17,7 @@ from quarry.sources.versions import VersionedTable
 # Stored length of each text field of the vector table.
 FIELD_LENGTHS = {"content": 65000, "source": 500, "document_id": 120, "entity_name": 250,
                  "normalized_entity_name": 250, "group": 500, "parent_group": 250, "child_group": 250}
+EMBED_ROWS = 32_768  # rows that a task embeds: 64 MB of vectors of 256 doubles
 
 
 def decode_utf8(data: Column) -> Column:
@@ -103,9 +104,12 @@ def rebuild_vectors(rows: DataFrame, embed: Callable[[Column], Column], target:
     """Embed ``rows`` and put them in place of the rows of the same id.
 
     Readers of the table see the rows before or after, never in between, and
-    a second run leaves the same rows.
+    a second run leaves the same rows.  A vector is much wider than its text,
+    so tasks are cut by rows.  ``rows`` is read for its count, its keys and its
+    texts: what is dear to compute should be staged.
     """
-    made = vector_rows(rows.withColumn("embedding", embed(F.coalesce(F.col("content"), F.lit("")))))
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // EMBED_ROWS))
+    made = vector_rows(rows.repartition(n).withColumn("embedding", embed(F.coalesce(F.col("content"), F.lit("")))))
     return target.upsert(made, "id")
 
 

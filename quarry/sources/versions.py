@@ -6,6 +6,9 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.session import cut_lineage, fits
 
 
 class Manifest:
@@ -81,10 +84,19 @@ class VersionedTable:
         return self.read()
 
     def upsert(self, rows: DataFrame, key: str = "id") -> DataFrame:
-        """Delete the rows whose key is in ``rows`` and insert ``rows``; both become visible at once."""
+        """Delete the rows whose key is in ``rows`` and insert ``rows``; both become visible at once.
+
+        Keys alone show what stays, so rows that are replaced are not read or
+        shuffled in full; ``rows`` is evaluated for its keys and once more.
+        """
         number, now = self.manifest.number(), self.read()
         if now is not None:
-            kept = now.join(rows.select(key).distinct(), key, "left_anti")
+            stays = cut_lineage(now.select(key).join(rows.select(key).distinct(), key, "left_anti"), "kept-keys")
+            if fits(stays, 0):
+                kept = now.limit(0)
+            else:
+                stays = stays.select(F.col(key).alias("_kept"))
+                kept = now.join(stays, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
             rows = kept.unionByName(rows, allowMissingColumns=True)
         self.manifest.commit([self.stage(rows)], number)
         return self.read()

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quarry.operators import dense
@@ -48,6 +49,27 @@ def test_rebuild_fills_positions(spark, tmp_path):
     assert "extra" not in out.columns
 
 
+def test_what_is_replaced_is_not_read_in_full(spark, tmp_path, monkeypatch):
+    table, plans, stage = VersionedTable(spark, str(tmp_path / "t")), [], VersionedTable.stage
+    rows = lambda pairs: spark.createDataFrame(pairs, "id long, v string")
+    table.replace(rows([(1, "a"), (2, "b"), (None, "n")]).withColumn("old", F.lit(1)))
+    monkeypatch.setattr(VersionedTable, "stage", lambda self, df: plans.append(
+        df._jdf.queryExecution().optimizedPlan().toString()) or stage(self, df))
+    table.upsert(rows([(2, "x"), (3, "c")]))
+    assert sorted(map(str, table.read().collect())) == sorted(map(str, [
+        Row(id=1, v="a", old=1), Row(id=None, v="n", old=1), Row(id=2, v="x", old=None), Row(id=3, v="c", old=None)]))
+    table.replace(rows([(1, "a"), (2, "b")]).withColumn("old", F.lit(1)))
+    table.upsert(rows([(1, "x"), (2, "y"), (3, "z")]))
+    assert sorted(map(tuple, table.read().collect())) == [(1, "x", None), (2, "y", None), (3, "z", None)]
+    assert "Join" in plans[0] and "Join" not in plans[2]
+
+
+def test_rebuild_deals_rows_out_before_it_embeds(spark, tmp_path):
+    rows = spark.range(4000).coalesce(1).select(F.col("id").cast("string").alias("id"), F.lit("a text").alias("content"))
+    out = files.rebuild_vectors(rows, lambda c: F.array(F.length(c).cast("double")), VersionedTable(spark, str(tmp_path / "v")))
+    assert out.count() == 4000 and len(out.inputFiles()) == spark.sparkContext.defaultParallelism
+
+
 def test_merged_log_keeps_few_folders(spark, tmp_path):
     """Ten batches of overlapping documents, one of them again: the entities of the plain log, from three folders at most."""
     text = lambda i: f"精灵名称: fox {i % 4}\n主属性: fire{i % 3}\n体型: {i}\n更新版本: v{i}"
