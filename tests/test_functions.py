@@ -1,5 +1,7 @@
 """Column functions on hand-made inputs."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarry.functions import parsing as ps
@@ -117,3 +119,34 @@ def test_plan_and_review(spark):
     flags = one(spark, ps.review_flags(F.col("c0")), review)
     assert flags["warn"] and not flags["retry"]
     assert one(spark, ps.review_flags(F.col("c0")), review.replace("40", "400"))["quality"] == 100
+
+
+def test_white_space_of_all_kinds_collapses_as_by_pattern(spark):
+    odd = "".join(f"a{chr(c)}b{chr(c)} c \n" for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000)
+    df = spark.createDataFrame([(t,) for t in (odd, " a  b\t\nc　 d\x85", "", "  ", None, "知 😀​ x")], "t string")
+    same = tx.collapse_space(F.col("t")).eqNullSafe(F.regexp_replace("t", f"{tx.SPACE}+", " "))
+    assert df.filter(~same).count() == 0
+    # one pass of a simple pattern: the class of all white space is not tried at every character
+    assert tx.SPACE not in str(tx.collapse_space(F.col("t")))
+
+
+def test_sparse_tokens_are_cut_out_once(spark):
+    rows = [("AI知识库 x_1 再见",), ("知",), ("",), (None,), ("É 好a好",)]
+    df = spark.createDataFrame(rows, "t string").select(tx.sparse_tokens(F.col("t")).alias("k"))
+    assert [r.k for r in df.collect()] == [["ai", "知", "识", "库", "x_1", "再", "见", "知识", "识库", "库再", "再见"], ["知"], [], None,
+                                           ["好", "a", "好", "好好"]]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_hash_vectors_read_the_bytes():
+    """Equal to the plain rule on characters of one to four bytes."""
+    texts = ["", "a", "ab", "知识库 é😀x", "ÿ\x7f\x80", None, "é"]
+    want = np.zeros((len(texts), 256))
+    for row, t in zip(want, texts, strict=True):
+        for a, b in zip((t or "")[:-1], (t or "")[1:], strict=True):
+            row[(ord(a) * 31 + ord(b)) % 256] += 1
+        row /= np.sqrt((row * row).sum()) or 1.0
+    array = pa.array(["skipped", *texts])[1:]
+    assert np.array_equal(vx.hash_vectors(array), want) and np.array_equal(vx.hash_vectors(array.cast(pa.large_string())), want)
+    # no text becomes a Python string
+    assert "to_pylist" not in vx.hash_vectors.__code__.co_names
