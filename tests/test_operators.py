@@ -218,3 +218,14 @@ def test_published_metric_summary(spark):
         for name, value in zip(("mean", "median", "std"), values):
             assert abs(got[metric][name] - value) <= 1e-4, (metric, name)
         assert got[metric]["available"] == 10
+
+
+def test_token_sets_are_cut_out_once(spark, monkeypatch):
+    plans, cut = [], matching.cut_lineage
+    monkeypatch.setattr(matching, "cut_lineage", lambda df, purpose: plans.append(
+        (purpose, df._jdf.queryExecution().optimizedPlan().toString())) or cut(df, purpose))
+    df = spark.createDataFrame([(1, "b a  c"), (2, "c\tB a"), (3, None), (4, ""), (5, " ")], "id int, text string")
+    got = {(r["left_id"], r["right_id"], r["similarity"]) for r in matching.jaccard_pairs(df, df, 0.9, "id", "text", "id", "text").collect()}
+    assert got == {(i, j, 1.0) for group in ((1, 2), (4, 5)) for i in group for j in group}
+    made = [plan for purpose, plan in plans if purpose == "token-sets"]
+    assert len(made) == 2 and all(plan.count("split(") == 1 for plan in made)
