@@ -196,3 +196,29 @@ def test_relevance_takes_from_a_pair_only_what_needs_both(spark):
     got = graph._with_sides(rows).crossJoin(graph._with_terms(asked)).select(graph.relevance().alias("r")).first().r
     # Terms fire, burn, 技能 and, joined, fireburn技能x; the object stands in the query.
     assert round(got, 9) == round(1 / 1.4 + 1.4 + 0.25 + 0.35 + 0.3 + 0.45 + 0.6 + 0.025, 9)
+
+
+def staged_hits(monkeypatch):
+    """Sizes of the lists of hits that are staged from here on."""
+    from pyspark.sql import functions as F
+
+    sizes, stage = [], graph.cut_lineage
+
+    def noted(df, purpose="cut"):
+        out = stage(df, purpose)
+        if "hits" in out.columns:
+            sizes.append(out.agg(F.sum(F.size("hits"))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(graph, "cut_lineage", noted)
+    return sizes
+
+
+def test_pairs_of_relations_are_not_written(spark, monkeypatch):
+    """Lists of hits are staged for entities and predicates, never for relations."""
+    sizes = staged_hits(monkeypatch)
+    entities, relations = star(spark, 100)
+    queries = spark.createDataFrame([(q, f"hub one {q}") for q in "abcde"], "query_id string, text string")
+    pairs = graph.scored_mentions(queries, entities, relations)
+    assert pairs.count() == 5 * 101
+    assert 0 < max(sizes) < 5 * 100
