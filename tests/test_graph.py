@@ -1,6 +1,7 @@
 """Graph operators without a limit, against the whole result, and the mark of a limit."""
 
 import re
+import uuid
 
 from quarry.operators import graph
 from quarry.registry import graph as registered
@@ -222,3 +223,23 @@ def test_pairs_of_relations_are_not_written(spark, monkeypatch):
     pairs = graph.scored_mentions(queries, entities, relations)
     assert pairs.count() == 5 * 101
     assert 0 < max(sizes) < 5 * 100
+
+
+def test_context_in_runs_leaves_no_pairs_behind(spark, monkeypatch, tmp_path):
+    """Runs of queries give the same context as one run, and only the best documents stay on the disk."""
+    from pyspark.sql import functions as F
+
+    entities, relations = star(spark, 30)
+    relations = relations.withColumn("source_document_id", F.length("subject_id").cast("long"))
+    queries = spark.createDataFrame([("a", "hub leaf3 in"), ("b", "one"), ("c", "two hub"), ("d", "zz")], "query_id string, text string")
+    documents = spark.createDataFrame([(i, f"{i}.txt") for i in range(9)], "document_id long, filename string")
+    chunks = documents.select("document_id", F.lit(0).alias("chunk_index"), F.lit("text").alias("content"))
+    rows = lambda: sorted(graph.graph_context(queries, entities, relations, chunks, documents, 2).collect())
+    monkeypatch.setattr("quarry.session.shared_dir", lambda spark, purpose: f"{tmp_path}/{purpose}-{uuid.uuid4().hex}")
+    want = rows()
+    before = {p.name for p in tmp_path.iterdir()}
+    monkeypatch.setattr(graph, "CONTEXT_PAIRS", 31)
+    assert rows() == want and {r.query_id for r in want} == {"a", "b", "c"}
+    kinds = lambda names: sorted(n.rsplit("-", 1)[0] for n in names)
+    assert kinds(before) == ["top", "whole"]
+    assert kinds({p.name for p in tmp_path.iterdir()} - before) == ["top"] * 4 + ["whole"]
