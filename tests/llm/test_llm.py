@@ -198,6 +198,19 @@ def test_extraction_open_page_among_articles(spark):
     assert {r.page_id: r.text for r in html.extract(df).collect()} == {1: "open text told", 2: "told shared", 3: "shared", 4: ""}
 
 
+def test_extraction_differences_pages_with_articles(spark):
+    page = "<p>Site of things</p>{}<p>All rights</p>"
+    pages = [(1, "http://h/a/1", page.format("<p>by one</p><article><p>told</p></article><p>added later</p>")),
+             (2, "http://h/a/2", page.format("<p>by two</p><article><p>told</p><p>Site of things</p></article>")),
+             (3, "http://alone/1", page.format("<article><p>single</p></article>")),
+             (4, "http://g/1", page.format("<article><p>x</p></article>")), (5, "http://g/2", "<article><p>y</p></article>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    # lines outside the articles go where the nearest page has them outside too; the article is a veto
+    assert {r.page_id: r.text for r in html.extract(df.repartition(3)).collect()} == {
+        1: "by one told added later", 2: "by two told Site of things", 3: "single", 4: "x", 5: "y"}
+
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 16))
