@@ -118,7 +118,8 @@ def review_flags(spark, sf):
 
 def _hits(spark, sf, k=5):
     docs = table(spark, sf, "documents")
-    hits = lexical.bm25_topk(docs, table(spark, sf, "benchmark"), k)
+    # Staged hits have a known size: where they are few, they travel to the texts and no text is shuffled.
+    hits = cut_lineage(lexical.bm25_topk(docs, table(spark, sf, "benchmark"), k), "hits")
     return hits.join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id")
 
 
