@@ -49,7 +49,10 @@ SELECT document_id::VARCHAR AS document_id, chunk_index::INTEGER AS chunk_index,
   coalesce(filled, 0) AS filled, coalesce(total, 0) AS total FROM l LEFT JOIN n ON n.id = document_id || chr(0) || chunk_index""")
 def vector_rebuild(spark, sf):
     """The vector table rebuilt from documents and chunks: a stale part first, then all of it twice."""
-    target, rows = VersionedTable(spark, shared_dir(spark, "rebuilt")), cut_lineage(_vector_input(spark, sf), "vector-input")
+    target = VersionedTable(spark, shared_dir(spark, "rebuilt"), files.VECTOR_FILES)
+    # Ids are digests, which do not compress: they are made again from what stands beside them.
+    rows = cut_lineage(_vector_input(spark, sf).drop("id", "unknown").sortWithinPartitions("content"), "vector-input")
+    rows = rows.withColumns({"id": chunk_id(F.col("document_id"), F.col("position")), "unknown": F.lit(1)})
     stale = rows.filter(F.col("document_id") % 5 == 0).withColumn("content", F.lit("stale"))
     files.rebuild_vectors(stale, hash_embedding, target)
     for _ in range(2):

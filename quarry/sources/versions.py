@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import cut_lineage, fits
+from quarry.session import cut_lineage, fits, passing, sweep
 
 
 class Manifest:
@@ -62,8 +62,9 @@ class Manifest:
 class VersionedTable:
     """A Parquet table that is replaced or upserted as a whole."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, options: dict[str, object] | None = None):
+        """``options`` are of the Parquet writer."""
+        self.spark, self.path, self.options = spark, path, {"compression": "zstd", **(options or {})}
         self.manifest = Manifest(spark, f"{path}/manifest")
 
     def read(self) -> DataFrame | None:
@@ -74,7 +75,7 @@ class VersionedTable:
     def stage(self, rows: DataFrame) -> str:
         """Write ``rows`` to a folder that no version names yet."""
         folder = f"rows-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{folder}")
+        rows.write.options(**self.options).parquet(f"{self.path}/{folder}")
         return folder
 
     def replace(self, rows: DataFrame) -> DataFrame:
@@ -83,20 +84,24 @@ class VersionedTable:
         self.manifest.commit([self.stage(rows)], number)
         return self.read()
 
-    def upsert(self, rows: DataFrame, key: str = "id") -> DataFrame:
+    def upsert(self, rows: DataFrame, key: str = "id", keys: DataFrame | None = None) -> DataFrame:
         """Delete the rows whose key is in ``rows`` and insert ``rows``; both become visible at once.
 
         Keys alone show what stays, so rows that are replaced are not read or
-        shuffled in full; ``rows`` is evaluated for its keys and once more.
+        shuffled in full; ``rows`` is evaluated for its keys and once more, or
+        only once where ``keys`` has them.  What was shuffled before is given up first.
         """
         number, now = self.manifest.number(), self.read()
-        if now is not None:
-            stays = cut_lineage(now.select(key).join(rows.select(key).distinct(), key, "left_anti"), "kept-keys")
-            if fits(stays, 0):
-                kept = now.limit(0)
-            else:
-                stays = stays.select(F.col(key).alias("_kept"))
-                kept = now.join(stays, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
-            rows = kept.unionByName(rows, allowMissingColumns=True)
-        self.manifest.commit([self.stage(rows)], number)
+        with passing(self.spark):
+            if now is not None:
+                keys = rows if keys is None else keys
+                stays = cut_lineage(now.select(key).join(keys.select(key).distinct(), key, "left_anti"), "kept-keys")
+                if fits(stays, 0):
+                    kept = now.limit(0)
+                else:
+                    stays = stays.select(F.col(key).alias("_kept"))
+                    kept = now.join(stays, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+                rows = kept.unionByName(rows, allowMissingColumns=True)
+            sweep(self.spark)
+            self.manifest.commit([self.stage(rows)], number)
         return self.read()

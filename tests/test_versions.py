@@ -119,3 +119,25 @@ def test_median_with_outliers(spark, cells):
     rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("even", None)]
     got = {r.metric: r.median for r in exact_median(spark.createDataFrame(rows, "metric string, value double"), ["metric"], "value", cells).collect()}
     assert got == {k: float(np.median(v)) for k, v in values.items()}
+
+
+def test_rebuild_leaves_rows_where_they_are_well_spread(spark, tmp_path):
+    """Rows in enough tasks are not shuffled to be embedded, and what an upsert stages on the way is deleted."""
+    table, plans = VersionedTable(spark, str(tmp_path / "v")), []
+    stage = table.stage
+    table.stage = lambda rows: plans.append(rows._jdf.queryExecution().toString()) or stage(rows)
+    rows = spark.range(0, 40, 1, 8).select(F.col("id").cast("string").alias("id"), F.lit("text").alias("content"))
+    embed = lambda c: F.array(F.length(c).cast("double"))
+    for given in (rows, rows.filter("id < 9"), rows.coalesce(1)):
+        files.rebuild_vectors(given, embed, table)
+    assert ["Repartition" in plan for plan in plans] == [False, False, True]
+    assert sorted(int(r.id) for r in table.read().collect()) == list(range(40))
+
+
+def test_upsert_deletes_the_keys_it_staged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("quarry.session.shared_dir", lambda spark, purpose: str(tmp_path / "staged" / purpose))
+    table = VersionedTable(spark, str(tmp_path / "v"))
+    table.replace(spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string"))
+    table.upsert(spark.createDataFrame([(2, "c")], "id long, x string"))
+    assert sorted(map(tuple, table.read().collect())) == [(1, "a"), (2, "c")]
+    assert list((tmp_path / "staged").iterdir()) == []
